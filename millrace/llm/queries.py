@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, mixing, quality, secrets, simhash
+import public_tokenizers
+
+from millrace.llm import decontam, langid, mixing, quality, secrets, simhash, tokens
 from millrace.llm.common import ship_package
 
 
@@ -31,6 +33,14 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaked_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +52,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_simhash_near_dedup,
         op6_mix_sources,
         op7_secret_scan,
+        op8_language_id,
+        op9_token_counts,
         op10_benchmark_decontamination,
     )
 }
