@@ -53,8 +53,9 @@ def gram_vectors(codes: np.ndarray) -> np.ndarray:
     return a[codes // (_SYMBOLS * _SYMBOLS)] * b[codes // _SYMBOLS % _SYMBOLS] * c[codes % _SYMBOLS]
 
 
-def text_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, code, has letters): the 3-grams of a column of texts; a run of non-letters is one edge."""
+def text_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in the distinct codes, distinct codes, has letters): the 3-grams of a column of texts; a run of
+    non-letters is one edge."""
     data, offsets = text_buffer(column)
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     starts = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
@@ -71,20 +72,33 @@ def text_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     has = np.zeros(n, bool)
     has[rows_with] = True
     if len(symbols) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), has
-    codes = (symbols[:-2] * _SYMBOLS + symbols[1:-1]) * _SYMBOLS + symbols[2:]
+        none = np.zeros(0, np.int64)
+        return none, none, none, has
     inside = (row[:-2] == row[2:]) & (symbols[1:-1] > 0)
-    return row[:-2][inside], codes[inside], has
+    used = np.flatnonzero(np.bincount(symbols, minlength=_SYMBOLS))
+    k = len(used)
+    if k**3 <= 1 << 23:  # few symbols: their 3-grams are counted in a table
+        small = np.zeros(_SYMBOLS, np.int64)
+        small[used] = np.arange(k)
+        symbols = small[symbols]
+        codes = ((symbols[:-2] * k + symbols[1:-1]) * k + symbols[2:])[inside]
+        there = np.bincount(codes, minlength=k**3) > 0
+        at = (np.cumsum(there) - 1)[codes]
+        known = np.flatnonzero(there)
+        known = (used[known // (k * k)] * _SYMBOLS + used[known // k % k]) * _SYMBOLS + used[known % k]
+    else:
+        codes = ((symbols[:-2] * _SYMBOLS + symbols[1:-1]) * _SYMBOLS + symbols[2:])[inside]
+        known, at = np.unique(codes, return_inverse=True)
+    return row[:-2][inside], at, known, has
 
 
 def text_vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(unit vectors, has letters) of a column of texts, by a product of their 3-gram counts and the 3-gram vectors."""
-    row, codes, has = text_grams(column)
-    n = len(column)
+    row, at, known, has = text_grams(column)
+    n, width = len(column), len(known)
     out = np.zeros((n, DIMENSIONS), np.float32)
-    for low, high, known, at in _blocks(row, codes, n):
-        width = len(known)
-        counts = np.bincount((row[low:high] - row[low]) * width + at, minlength=0)
+    for low, high in _blocks(row, n, max(1, _DENSE_CELLS // max(1, width))):
+        counts = np.bincount((row[low:high] - row[low]) * width + at[low:high])
         height = int(row[high - 1] - row[low]) + 1
         dense = np.zeros(height * width, np.float32)
         dense[: len(counts)] = counts
@@ -94,16 +108,12 @@ def text_vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out / np.where(norms > 0, norms, 1), has
 
 
-def _blocks(row: np.ndarray, codes: np.ndarray, n: int):
-    """Runs of rows whose table of counts has a bounded number of cells: (from, to, distinct codes, places in them)."""
-    if not len(row):
-        return
-    known, at = np.unique(codes, return_inverse=True)
-    rows = max(1, _DENSE_CELLS // len(known))
+def _blocks(row: np.ndarray, n: int, rows: int):
+    """Ranges of the 3-grams of so many rows each, whose table of counts has a bounded number of cells."""
     for first in range(0, n, rows):
         low, high = np.searchsorted(row, first, "left"), np.searchsorted(row, first + rows, "left")
         if low < high:
-            yield low, high, known, at[low:high]
+            yield low, high
 
 
 def is_held_out(doc_id: Column) -> Column:
