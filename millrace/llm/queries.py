@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from millrace.llm import decontam, langid, mixing, quality, secrets, simhash, tokens
+from millrace.llm import decontam, html, langid, mixing, quality, secrets, simhash, tokens
 from millrace.llm.common import ship_package
 
 
@@ -25,6 +25,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op2_quality_classifier,
         op3_simhash_near_dedup,
+        op4_html_main_text,
         op6_mix_sources,
         op7_secret_scan,
         op8_language_id,
