@@ -31,6 +31,11 @@ class Registry:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.sql: dict[str, str] = {}
 
+    def both(self, name: str, text: str, oracle: str | None = None) -> None:
+        """Register Spark SQL that names tables as ``{orders}``; the oracle runs the same text unless it gets its own."""
+        self.queries[name] = lambda spark, sf_dir: Tables(spark, sf_dir).sql(text)
+        self.sql[name] = oracle or text.replace("{", "").replace("}", "")
+
     def add(self, sql: str | None = None, name: str | None = None):
         """Register ``f(t: Tables) -> DataFrame`` under its name, with the oracle's SQL if there is any."""
 
