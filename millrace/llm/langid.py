@@ -128,9 +128,12 @@ def prototypes(docs: DataFrame, most: int = TRAINING_DOCS) -> tuple[list[str], n
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text"))
     rows = rows.where(~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).withColumn("share", F.lit(float(most)) / F.col("n"))
+    shares = {r["lang"]: most / r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
+    if not shares:
+        return [], np.zeros((0, DIMENSIONS), np.float32)
+    share = F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair])
     point = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.join(sizes, "lang").where(point < F.col("share")).select("lang", "text")
+    sample = rows.where(point < share[F.col("lang")]).select("lang", "text")
 
     def run(batches):
         for batch in batches:
