@@ -67,8 +67,8 @@ def text_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     # An edge at both ends of every row, so that 3-grams don't reach into a neighbour.
     rows_with = np.flatnonzero(np.bincount(row, weights=symbols > 0, minlength=n) > 0)
     first, last = np.searchsorted(row, rows_with, "left"), np.searchsorted(row, rows_with, "right")
-    symbols = np.insert(symbols, np.concatenate((first, last)), 0)
-    row = np.insert(row, np.concatenate((first, last)), np.concatenate((rows_with, rows_with)))
+    symbols = np.insert(symbols, np.concatenate((last, first)), 0)  # at one place a row's end comes before the next one's begin
+    row = np.insert(row, np.concatenate((last, first)), np.concatenate((rows_with, rows_with)))
     has = np.zeros(n, bool)
     has[rows_with] = True
     if len(symbols) < 3:
