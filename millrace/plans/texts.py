@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions import strings
+from millrace.functions import math, strings
 from millrace.plans.registry import Registry, Tables
 
 _r = Registry()
@@ -58,3 +58,28 @@ def string_arrays(t: Tables) -> DataFrame:
 @_r.add("SELECT c_custkey, replace(replace(url_encode(c_name || ' ä~*'), '+', '%20'), '*', '%2A') AS u FROM customer")
 def escape_uri(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", strings.escape_uri(F.concat("c_name", F.lit(" ä~*"))).alias("u"))
+
+
+@_r.add("SELECT o_orderkey, gcd(o_orderkey, o_custkey) AS g, lcm(o_orderkey, o_custkey) AS l, CAST(trunc(o_totalprice / 7) AS DOUBLE) AS t, log10(o_totalprice) AS lg, CAST(trunc(o_orderkey / 7.0) AS BIGINT) AS d FROM orders")
+def math_more(t: Tables) -> DataFrame:
+    key, cust, price = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
+    return t.orders.select("o_orderkey", math.gcd(key, cust).alias("g"), math.lcm(key, cust).alias("l"), math.trunc(price / 7).alias("t"), math.log(price).alias("lg"), math.div(key, F.lit(7)).alias("d"))
+
+
+@_r.add("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS c, CAST(datediff('day', DATE '2023-12-01', CAST(ts AS DATE)) AS INTEGER) AS dd FROM events")
+def to_char(t: Tables) -> DataFrame:
+    return t.events.select("event_id", math.to_char(F.col("ts"), "YYYY-MM-DD HH24:MI:SS").alias("c"), F.datediff(F.col("ts").cast("date"), F.lit("2023-12-01").cast("date")).alias("dd"))
+
+
+@_r.add("SELECT n_nationkey, array_to_string(list_prepend(n_nationkey, [1, 2]), ',') AS p, n_nationkey IN (1, 2, 3) AS a, list_position([5, n_regionkey, 7], 7) AS pos, array_to_string(list_sort(list_distinct([n_regionkey, 1, 1])), ',') AS u, array_to_string(regexp_split_to_array(n_name, '[AEIOU]'), '.') AS s FROM nation")
+def array_more(t: Tables) -> DataFrame:
+    key = F.col("n_nationkey")
+    two = F.array(F.lit(1), F.lit(2))
+    return t.nation.select(
+        "n_nationkey",
+        F.array_join(math.array_prepend(two, key), ",").alias("p"),
+        math.any_equal(key, F.array(F.lit(1), F.lit(2), F.lit(3))).alias("a"),
+        F.array_position(F.array(F.lit(5), F.col("n_regionkey"), F.lit(7)), F.lit(7)).cast("int").alias("pos"),
+        F.array_join(F.array_sort(F.array_distinct(F.array(F.col("n_regionkey"), F.lit(1), F.lit(1)))), ",").alias("u"),
+        F.array_join(math.regexp_split_to_array(F.col("n_name"), "[AEIOU]"), ".").alias("s"),
+    )

@@ -16,6 +16,9 @@ _SUFFIXES = {".parquet": "parquet", ".json": "json", ".ndjson": "json", ".jsonl"
 _CODECS = {".gz": "gzip", ".zst": "zstd"}
 OPTIONS = frozenset("format partition_by use_tmp_file overwrite_or_ignore overwrite append filename_pattern file_extension per_thread_output file_size_bytes write_partition_columns array compression dateformat timestampformat nullstr prefix suffix compression_level field_ids row_group_size_bytes row_group_size row_groups_per_file header delimiter delim sep quote escape max_records_per_file".split())
 
+#: Options of the host that no writer here can honour; they are refused rather than passed over.
+_REFUSED = frozenset(("field_ids", "row_groups_per_file", "prefix", "suffix"))
+
 
 def file_format(path: str, given: str | None = None) -> tuple[str, str | None]:
     """(format, compression) from the option or the path's endings."""
@@ -44,6 +47,9 @@ def copy_to(df: DataFrame, path: str, policy: AccessPolicy = OPEN, **options) ->
     unknown = set(options) - OPTIONS
     if unknown:
         raise ValueError(f"unknown COPY option: {', '.join(sorted(unknown))}")
+    refused = sorted(set(options) & _REFUSED)
+    if refused:
+        raise ValueError(f"COPY option without a counterpart: {', '.join(refused)}")
     _require_absolute(path)
     policy.check(path)
     kind, codec = file_format(path, options.get("format"))
@@ -62,6 +68,8 @@ def copy_to(df: DataFrame, path: str, policy: AccessPolicy = OPEN, **options) ->
     if folder:
         writer = df.write.mode(mode).options(**writer_options)
         (writer.partitionBy(*partition_by) if partition_by else writer).format(kind).save(path)
+        if options.get("filename_pattern") or options.get("file_extension"):
+            _rename_parts(df.sparkSession, path, options.get("filename_pattern") or "data_{i}", options.get("file_extension") or kind)
         return
     spark = df.sparkSession
     work = join(dirname(path), f".{uuid.uuid4().hex}.tmp")
@@ -109,6 +117,28 @@ def _put_in_place(spark: SparkSession, work: str, path: str) -> None:
     fs.delete(new(work), True)
 
 
+def _rename_parts(spark: SparkSession, folder: str, pattern: str, extension: str) -> None:
+    """Give the written part files names by a pattern with {i} or {uuid}; files from before keep theirs."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    new = jvm.org.apache.hadoop.fs.Path
+    fs = new(folder).getFileSystem(conf)
+    listing, number = fs.listFiles(new(folder), True), 0
+    parts = []
+    while listing.hasNext():
+        p = listing.next().getPath()
+        if p.getName().startswith("part-"):
+            parts.append(p)
+    for p in sorted(parts, key=lambda p: p.toString()):
+        while True:
+            name = pattern.replace("{i}", str(number)).replace("{uuid}", uuid.uuid4().hex)
+            name = name if "{" in pattern else f"{name}{number}"
+            number += 1
+            target = new(p.getParent(), f"{name}.{extension.lstrip('.')}")
+            if not fs.exists(target):
+                break
+        fs.rename(p, target)
+
+
 def copy_from(spark: SparkSession, table: str, path: str, policy: AccessPolicy = OPEN, **options) -> int:
     """Append a file's rows to a table, by position and with the table's types; gives the number of rows."""
     _require_absolute(path)

@@ -167,3 +167,14 @@ def test_iceberg(spark, tmp_path):
     assert [(r.status, r.content) for r in sources.iceberg_metadata(spark, str(table), allow_moved_paths=True).collect()] == [("ADDED", "EXISTING"), ("DELETED", "EXISTING")]
     assert sources.iceberg_snapshots(spark, str(table)).first()["snapshot_id"] == 7
     assert read_avro((table / "metadata" / "l.avro").read_bytes())[0]["sequence_number"] == 1
+
+
+def test_copy_file_names(spark, people, tmp_path):
+    path = str(tmp_path / "named")
+    for _ in range(2):
+        sinks.copy_to(people.repartition(2), path, format="parquet", per_thread_output=True, append=True, filename_pattern="rows_{i}", file_extension="pq")
+    names = sorted(p.name for p in (tmp_path / "named").glob("*.pq"))
+    assert len(names) >= 2 and all(n.startswith("rows_") for n in names)
+    assert sources.read_parquet(spark, path).count() == 6
+    with pytest.raises(ValueError, match="without a counterpart"):
+        sinks.copy_to(people, str(tmp_path / "x.parquet"), field_ids="auto")

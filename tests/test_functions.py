@@ -173,3 +173,27 @@ def test_types():
     for bad in ("numeric", "numeric(50,2)", "xml"):
         with pytest.raises(UnsupportedType):
             spark_type(bad)
+
+
+def test_math_and_age(spark):
+    from millrace.functions import math
+
+    assert one(spark, math.gcd(F.lit(7540113804746346429), F.lit(4660046610375530309))) == 1
+    assert one(spark, math.gcd(F.lit(-12), F.lit(18))) == 6 and one(spark, math.lcm(F.lit(4), F.lit(6))) == 12
+    assert one(spark, math.lcm(F.lit(0), F.lit(6))) == 0
+    assert one(spark, math.div(F.lit(-7), F.lit(2))) == -3
+    assert tuple(one(spark, math.age(stamp("2001-04-10"), stamp("1957-06-13")))) == (43 * 12 + 9, 27, 0)
+    assert tuple(one(spark, math.age(stamp("2001-01-01"), stamp("2001-01-02 06:00:00")))) == (0, -1, -6 * 3_600_000_000)
+    assert one(spark, math.any_equal(F.lit(9), F.array(F.lit(1), F.lit(None).cast("int")))) is None
+
+
+def test_explain(spark):
+    import json
+
+    from millrace.explain import explain
+
+    df = spark.range(10).where("id > 3")
+    assert "Filter" in explain(df) and "rows: 6" in explain(df, analyze=True)
+    assert json.loads(explain(df, analyze=True, format="json"))["rows"] == 6
+    with pytest.raises(ValueError):
+        explain(df, format="xml")
