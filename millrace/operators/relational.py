@@ -82,7 +82,7 @@ def range_join(left: DataFrame, right: DataFrame, at: str, low: str, high: str,
     return points.join(ranges, [*keys, "_cell"]).where(F.col(at).between(F.col(low), F.col(high))).drop("_cell")
 
 
-def with_positions(df: DataFrame, order: list[Column], name: str = "position", buckets: int | None = None) -> DataFrame:
+def with_positions(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """``df`` with 0-based positions in a total order: a range-partitioned sort and the partitions' offsets, so rows
     are never in one task."""
     sorted_rows = df.sort(*order)
@@ -111,6 +111,12 @@ def recursive_distinct(seed: DataFrame, step: Callable[[DataFrame], DataFrame],
     raise RuntimeError("the recursion did not end")
 
 
+def union_by_name(a: DataFrame, b: DataFrame, distinct: bool = False) -> DataFrame:
+    """UNION [ALL] BY NAME: columns that one side lacks are null there."""
+    both = a.unionByName(b, allowMissingColumns=True)
+    return both.distinct() if distinct else both
+
+
 def unpivot(df: DataFrame, ids: list[str], values: list[str], name: str = "name", value: str = "value") -> DataFrame:
     return df.unpivot(ids, values, name, value)
 

@@ -131,3 +131,6 @@ def pivot(t: Tables) -> DataFrame:
 
 
 _r.both("agg_mode_moments", "SELECT n_regionkey, round(skewness(n_nationkey), 6) AS sk FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, round((sum(pow(n_nationkey - m, 3)) / count(*)) / pow(sum(pow(n_nationkey - m, 2)) / count(*), 1.5), 6) AS sk FROM nation JOIN (SELECT n_regionkey, avg(n_nationkey) AS m FROM nation GROUP BY 1) USING (n_regionkey) GROUP BY n_regionkey")
+_r.both("agg_kurtosis", "SELECT n_regionkey, round(kurtosis(n_nationkey), 6) AS k FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, round(kurtosis_pop(n_nationkey), 6) AS k FROM nation GROUP BY n_regionkey")
+_r.both("agg_mode", "SELECT o_custkey % 3 AS g, mode(CASE WHEN o_orderkey % 2 = 0 THEN 'even' WHEN o_orderkey % 5 = 0 THEN 'five' ELSE 'odd' END) AS m FROM {orders} GROUP BY 1")
+_r.both("agg_first_any", "SELECT o_custkey, any_value(o_custkey * 2) AS a, CAST(count_if(o_orderstatus = 'F') AS BIGINT) AS f, max(DISTINCT o_orderpriority) AS mx FROM {orders} GROUP BY o_custkey")

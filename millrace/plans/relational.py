@@ -168,3 +168,20 @@ _r.both("derived_table_star", "SELECT * FROM (SELECT *, n_nationkey + 1 AS k FRO
 @_r.add("SELECT o_orderkey, n FROM (SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n > 12")
 def win_qualify(t: Tables) -> DataFrame:
     return ops.qualify(t.orders.select("o_orderkey", "o_custkey"), "n", F.count("*").over(Window.partitionBy("o_custkey")), "n > 12").select("o_orderkey", "n")
+
+
+_r.both("row_comparison", "SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE struct(l_quantity, l_linenumber) < struct(CAST(5 AS DOUBLE), 3)", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_quantity, l_linenumber) < (CAST(5 AS DOUBLE), 3)")
+_r.both("subquery_all_any", "SELECT p_partkey FROM {part} WHERE p_retailprice > (SELECT max(s_acctbal) / 8 FROM {supplier}) OR p_size IN (SELECT n_nationkey FROM {nation} WHERE n_regionkey = 1)", "SELECT p_partkey FROM part WHERE p_retailprice > ALL (SELECT s_acctbal / 8 FROM supplier) OR p_size = ANY (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+_r.both("collation", "SELECT c_custkey FROM {customer} WHERE c_mktsegment COLLATE UTF8_LCASE = 'building'", "SELECT c_custkey FROM customer WHERE c_mktsegment COLLATE NOCASE = 'building'")
+
+
+@_r.add("SELECT n_name AS name, n_nationkey AS k, NULL::VARCHAR AS extra FROM nation UNION ALL SELECT r_name, NULL, 'r' FROM region")
+def union_by_name(t: Tables) -> DataFrame:
+    a = t.nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    return ops.union_by_name(a, t.region.select(F.col("r_name").alias("name"), F.lit("r").alias("extra")))
+
+
+@_r.add("SELECT n_nationkey, name, value FROM (UNPIVOT (SELECT n_nationkey, CAST(n_regionkey AS BIGINT) AS a, CAST(n_nationkey * 2 AS BIGINT) AS b FROM nation) ON a, b INTO NAME name VALUE value)")
+def unpivot(t: Tables) -> DataFrame:
+    rows = t.nation.selectExpr("n_nationkey", "CAST(n_regionkey AS BIGINT) AS a", "CAST(n_nationkey * 2 AS BIGINT) AS b")
+    return ops.unpivot(rows, ["n_nationkey"], ["a", "b"])
