@@ -84,9 +84,8 @@ def range_join(left: DataFrame, right: DataFrame, at: str, low: str, high: str,
 
 def with_positions(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """``df`` with 0-based positions in a total order: a range-partitioned sort and the partitions' offsets, so rows
-    are never in one task."""
-    sorted_rows = df.sort(*order)
-    tagged = sorted_rows.withColumn("_mono", F.monotonically_increasing_id())
+    are never in one task. The sorted rows are kept, because offsets and rows must come from the same partitions."""
+    tagged = checkpointed(df.sort(*order).withColumn("_mono", F.monotonically_increasing_id()))
     tagged = tagged.withColumn("_part", F.shiftright("_mono", 33))
     sizes = tagged.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_start")
