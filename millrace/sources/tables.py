@@ -77,10 +77,11 @@ def delta_scan(spark: SparkSession, path: str, version: int | None = None, polic
         return spark.createDataFrame([], full)
     names = {p: p if urlsplit(p).scheme else join(path, unquote(p)) for p in active}
     df = spark.read.schema(data).parquet(*names.values())
-    if partitions:  # values are in the log, one row for each file; the join is on the file's name
-        rows = [(basename(n), *[(active[p].get("partitionValues") or {}).get(c) for c in partitions]) for p, n in names.items()]
+    if partitions:  # values are in the log, one row for each file; the join is on the file's path below the table
+        parts = 1 + max(unquote(p).count("/") for p in active if not urlsplit(p).scheme) if any(not urlsplit(p).scheme for p in active) else 1 + len(partitions)
+        rows = [("/".join(n.split("/")[-parts:]), *[(active[p].get("partitionValues") or {}).get(c) for c in partitions]) for p, n in names.items()]
         values = spark.createDataFrame(rows, "`__file` string, " + ", ".join(f"`{c}` string" for c in partitions))
-        tagged = df.withColumn("__file", F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -1)))
+        tagged = df.withColumn("__file", F.substring_index(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "/", -parts))
         df = tagged.join(values, "__file").select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in full.fields])
     return df.select(*[f.name for f in full.fields])
 

@@ -111,11 +111,11 @@ def test_delta(spark, tmp_path):
     table, log = tmp_path / "d", tmp_path / "d" / "_delta_log"
     log.mkdir(parents=True)
     for i, folder in enumerate(("p=1", "p=2", "p=2")):
-        sinks.copy_to(spark.range(i * 10, i * 10 + 2).select(F.col("id").cast("int").alias("a")), str(table / folder / f"f{i}.parquet"))
+        sinks.copy_to(spark.range(i * 10, i * 10 + 2).select(F.col("id").cast("int").alias("a")), str(table / folder / ("f1.parquet" if i < 2 else "f2.parquet")))
     schema = {"type": "struct", "fields": [{"name": "a", "type": "integer", "nullable": True, "metadata": {}}, {"name": "p", "type": "integer", "nullable": True, "metadata": {}}]}
     add = lambda f, p: json.dumps({"add": {"path": f, "partitionValues": {"p": p}, "size": 1, "modificationTime": 0, "dataChange": True}})
     meta = json.dumps({"metaData": {"id": "x", "schemaString": json.dumps(schema), "partitionColumns": ["p"]}})
-    (log / f"{0:020d}.json").write_text("\n".join([meta, add("p=1/f0.parquet", "1"), add("p=2/f1.parquet", "2")]))
+    (log / f"{0:020d}.json").write_text("\n".join([meta, add("p=1/f1.parquet", "1"), add("p=2/f1.parquet", "2")]))
     (log / f"{1:020d}.json").write_text("\n".join([json.dumps({"remove": {"path": "p=2/f1.parquet"}}), add("p=2/f2.parquet", "2")]))
     assert rows(sources.delta_scan(spark, str(table))) == [(0, 1), (1, 1), (20, 2), (21, 2)]
     assert rows(sources.delta_scan(spark, str(table), version=0)) == [(0, 1), (1, 1), (10, 2), (11, 2)]
