@@ -1,4 +1,4 @@
-"""Every registered query that has oracle SQL gives DuckDB's rows at the smallest scale."""
+"""Every registered query that has oracle SQL gives the oracle's rows at the smallest scale."""
 
 from __future__ import annotations
 
