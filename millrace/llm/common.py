@@ -18,8 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that the vectorised kernels take at once. Bounds a worker's memory whatever the Arrow batch holds.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that the vectorised kernels take at once. Bounds a worker's memory whatever the Arrow batch holds: a
+#: byte takes some 60 bytes of temporary arrays, and workers that have ended a task keep their tables of powers.
+SLICE_BYTES = 1 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -26,6 +26,8 @@ DIMENSIONS, TRAINING_DOCS, SHARED = 1024, 2_000, 512
 _OWN = 0x250
 _SYMBOLS = 1 + _OWN + SHARED
 _DENSE_CELLS = 1 << 22
+#: Bytes of text whose 3-gram vectors are made together.
+_SLICE = 4 << 20
 
 
 @lru_cache(maxsize=1)
@@ -137,7 +139,7 @@ def prototypes(docs: DataFrame, most: int = TRAINING_DOCS) -> tuple[list[str], n
 
     def run(batches):
         for batch in batches:
-            for part in batch_slices(batch, "text"):
+            for part in batch_slices(batch, "text", _SLICE):
                 vectors, has = text_vectors(part.column(1))
                 langs = np.array(part.column(0).to_pylist(), object)
                 names = sorted(set(langs[has].tolist()))
@@ -166,7 +168,7 @@ def identify(docs: DataFrame, most: int = TRAINING_DOCS) -> DataFrame:
     def run(batches):
         langs, matrix = shared.value
         for batch in batches:
-            for part in batch_slices(batch, "text"):
+            for part in batch_slices(batch, "text", _SLICE):
                 vectors, has = text_vectors(part.column(2))
                 known = has & bool(langs)
                 cosine = vectors @ matrix.T if langs else np.zeros((part.num_rows, 1), np.float32)

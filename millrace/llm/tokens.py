@@ -28,6 +28,8 @@ from millrace.llm.common import batch_slices
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 #: Pieces and pre-tokens that a worker's memo keeps from one slice of texts to the next.
 MEMO_PIECES = 800_000
+#: Bytes of text whose new pieces are sorted and learned together.
+_SLICE = 4 << 20
 _REFUSED = -(1 << 40)
 
 
@@ -265,7 +267,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
     def run(batches):
         counter = shared.value
         for batch in batches:
-            n = [x for part in batch_slices(batch, "text") for x in counter.counts(part.column(2).to_pylist())]
+            n = [x for part in batch_slices(batch, "text", _SLICE) for x in counter.counts(part.column(2).to_pylist())]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return _rows(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
