@@ -7,7 +7,7 @@ way to guess it costs at least ``10**LEAST_COST`` tries. That cost is the minimu
 into common words, pronounceable words, dates, repeats, keyboard walks and brute-force spans, found by dynamic
 programming over the value's prefixes.
 
-A null text is an empty text. Long texts are scanned whole.
+A null text is an empty text. Long texts are scanned whole, and values have no greatest length.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{%d,}" % LEAST_HEX)
 _CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?|bearer|login)"""
-    r"""["']?[\x20\t]*(?::=|=>|[:=]|\bis\b|(?<=bearer))[\x20\t]*["']?([^\s"'<>,;|()\[\]{}]{%d,256})""" % LEAST_GUESS_CHARS,
+    r"""["']?[\x20\t]*(?::=|=>|[:=]|\bis\b|(?<=bearer))[\x20\t]*["']?([^\s"'<>,;|()\[\]{}]{%d,})""" % LEAST_GUESS_CHARS,
     re.IGNORECASE | re.ASCII,
 )
 _NAMES = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "login")
@@ -62,38 +62,49 @@ def _brute(c: str) -> float:
     return math.log10(next((n for pattern, n in _CLASSES if pattern.fullmatch(c)), 33 if c < "\x80" else 1000))
 
 
-@lru_cache(maxsize=4096)
-def guess_cost(value: str) -> float:
-    """log10 of the tries that the cheapest segmentation of ``value`` needs. Empty: 0."""
+def guess_cost(value: str, enough: float = math.inf) -> float:
+    """log10 of the tries that the cheapest segmentation of ``value`` needs. Empty: 0.
+
+    Costs from ``enough`` on aren't told apart: the search ends where no cheaper segmentation goes on, so that the time
+    grows with the value's length at most. Below ``enough`` the cost is exact."""
     n, lower = len(value), value.lower()
     if len(lower) != n:  # a letter whose lower case is longer
         lower = value
     plain = lower.translate(_LEET)
     best = [0.0] + [math.inf] * n
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if value[i].isdigit():
-            dates[i] = [m.end() for m in [_DATE.match(value, i)] if m]
-            if value[i : i + 2] in ("19", "20") and value[i : i + 4].isdigit() and len(value[i : i + 4]) == 4:
-                dates[i].append(i + 4)
+    reach, until = 0, [0] * 9  # the furthest prefix that costs less than enough; where the characters stop repeating after each unit
     for i in range(n):
+        if i > reach:
+            return enough
         at = best[i]
+        if at == math.inf:
+            continue
 
         def offer(j: int, cost: float, at: float = at) -> None:
-            if at + cost < best[j]:
+            nonlocal reach
+            if at + cost < best[j] and at + cost < enough:
                 best[j] = at + cost
+                reach = max(reach, j)
 
         offer(i + 1, _brute(value[i]))
         for j in range(i + 2, min(n, i + _LONGEST) + 1):  # common words, also with look-alike characters and in capitals
             rank = _RANK.get(lower[i:j]) or _RANK.get(plain[i:j])
             if rank:
                 offer(j, math.log10(rank * (1 if value[i:j] == lower[i:j] else 2) * (1 if lower[i:j] in _RANK else 4) + 1))
-        for j in dates.get(i, ()):
+        dates = []
+        if value[i].isdigit():
+            dates = [m.end() for m in [_DATE.match(value, i)] if m]
+            if value[i : i + 2] in ("19", "20") and value[i : i + 4].isdigit() and len(value[i : i + 4]) == 4:
+                dates.append(i + 4)
+        for j in dates:
             offer(j, math.log10(365 * 120) if j - i > 4 else math.log10(120))
         for unit in range(1, min(8, (n - i) // 2) + 1):  # a unit that repeats: its own characters and a count
-            j = i + unit
-            while value.startswith(value[i : i + unit], j):
-                j += unit
+            if until[unit] <= i:
+                k = i
+                while k + unit < n and value[k] == value[k + unit]:
+                    k += 1
+                until[unit] = k
+            j = i + unit + (until[unit] - i) // unit * unit
             if j - i >= max(3, 2 * unit):
                 offer(j, sum(map(_brute, value[i : i + unit])) + math.log10((j - i) // unit))
         j, turns, way = i + 1, 0, None
@@ -102,6 +113,8 @@ def guess_cost(value: str) -> float:
             step = (b[0] - a[0], b[1] - a[1])
             turns, way = turns + (way is not None and step != way), step
             j += 1
+            if at + turns * math.log10(6) >= enough:
+                break
             if j - i >= 4:
                 offer(j, math.log10(47) + math.log10(j - i) + turns * math.log10(6))
         vowels = consonants = 0
@@ -110,11 +123,20 @@ def guess_cost(value: str) -> float:
             if not ("a" <= c <= "z") or (j > i and value[j].isupper() != value[i + 1 if j > i else i].isupper()):
                 break
             vowels, consonants = (vowels + 1, 0) if c in "aeiouy" else (0, consonants + 1)
-            if vowels > 3 or consonants > 3:
+            if vowels > 3 or consonants > 3 or at + _SPOKEN * (j - i) >= enough:
                 break
             if j - i >= 3:
                 offer(j + 1, 1 + _SPOKEN * (j - i))
-    return best[n]
+    return min(best[n], enough)
+
+
+@lru_cache(maxsize=4096)
+def _short_is_costly(value: str) -> bool:
+    return guess_cost(value, LEAST_COST) >= LEAST_COST
+
+
+def _costly(value: str) -> bool:
+    return _short_is_costly(value) if len(value) <= 256 else guess_cost(value, LEAST_COST) >= LEAST_COST
 
 
 def spans(text: str | None) -> list[tuple[int, int, str]]:
@@ -131,7 +153,7 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
     if b"h" * LEAST_HEX in raw.translate(_HEX_CLASS):
         found += [(*m.span(), "hex") for m in _HEX.finditer(text)]
     if any(name.encode() in low for name in _NAMES):
-        found += [(*m.span(1), "guess") for m in _CONTEXT.finditer(text) if guess_cost(m[1].rstrip(".:!?")) >= LEAST_COST]
+        found += [(*m.span(1), "guess") for m in _CONTEXT.finditer(text) if _costly(m[1].rstrip(".:!?"))]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

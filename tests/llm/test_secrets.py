@@ -71,3 +71,34 @@ def test_redaction(odd_documents, no_documents, spark):
     assert secrets.redact(no_documents).count() == secrets.scan(no_documents).count() == 0
     rows = secrets.scan(odd_documents).collect()
     assert len(rows) == odd_documents.count() and {r.spans for r in rows if r.doc_id in (3, 4)} == {""}
+
+
+def test_long_values(spark):
+    import base64
+    import random
+
+    from millrace.llm.common import ship_package
+
+    ship_package(spark)
+    value = base64.b64encode(random.Random(3).randbytes(750)).decode()
+    assert len(value) == 1000
+    text = f"Authorization: Bearer {value} end"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert f"guess:22:{22 + 1000}" in secrets.scan(docs).first()["spans"].split(",")
+    assert secrets.redact(docs).first()["text"] == "Authorization: Bearer [SECRET] end"
+    import corpus_pipeline
+
+    assert corpus_pipeline.secret_scan(spark, docs, "").first()["text"] == "Authorization: Bearer [SECRET] end"
+
+
+def test_bounded_costs():
+    import random
+
+    r = random.Random(5)
+    pieces = ["password", "qwertyuiop", "asdf", "1987-06-05", "aaaa", "abcabcabc", "x9$L", "Zr7k", "understanding", "2020", "P@ss", "é"]
+    for _ in range(500):
+        value = "".join(r.choice(pieces) for _ in range(r.randint(1, 6)))
+        assert secrets.guess_cost(value, secrets.LEAST_COST) == min(secrets.guess_cost(value), secrets.LEAST_COST)
+    for unit in ("a", "qw"):  # in time that grows with the length
+        repeated = sum(map(secrets._brute, unit)) + secrets.math.log10(200_000 // len(unit))
+        assert secrets.guess_cost(unit * (200_000 // len(unit)), secrets.LEAST_COST) <= repeated
