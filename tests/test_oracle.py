@@ -5,23 +5,20 @@ from __future__ import annotations
 import math
 from pathlib import Path
 
-import duckdb
 import pytest
 
 from millrace import plans
 from millrace.plans.registry import TABLES
 
+from .oracle import connection
+
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no driver tables here")
 
 
 @pytest.fixture(scope="module")
 def oracle():
-    c = duckdb.connect()
-    c.sql("SET timezone = 'UTC'")
-    for t in TABLES:
-        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    return c
+    return connection(DATA, TABLES)
 
 
 def plain(v):
