@@ -148,7 +148,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, most_passes: int = 3) -
     return out.select(lines["doc_id"], F.col("size"), F.col("source_size"), F.col("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-#: DuckDB. {docs} is the table of documents. Blocks are read by rank: a block's reads follow from the slots of its source.
+#: The same in SQL. {docs} is the table of documents. Blocks are read by rank: a block's reads follow from the slots of its source.
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM {docs}),

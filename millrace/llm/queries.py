@@ -1,4 +1,4 @@
-"""The registered queries of the training-data operators, with DuckDB SQL where SQL can express one."""
+"""The registered queries of the training-data operators, with SQL where SQL can express one."""
 
 from __future__ import annotations
 

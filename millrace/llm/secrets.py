@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import batch_slices
+
 KINDS = ("assign", "access", "hex", "guess")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX, LEAST_GUESS_CHARS, LEAST_COST = 12, 18, 16, 8, 10.0
 
@@ -201,7 +203,7 @@ def redact(docs: DataFrame) -> DataFrame:
     at, counted = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in batch_slices(whole, "text")):
             columns, before = list(batch.columns), batch.column(at).to_pylist()
             after = [redacted(t) for t in before]
             columns[at] = pa.array(after, batch.schema.field(at).type)

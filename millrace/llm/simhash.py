@@ -206,12 +206,3 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     classes = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
-
-def one_of_each_group(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` that are their component's representative, once each.
-
-    Rows with a null doc_id can't be told apart and stay as they are. Of rows that repeat a doc_id one stays.
-    """
-    keep = near_duplicates(docs.where("doc_id is not null"), width, radius).where("doc_id = component_id").select(F.col("doc_id").alias("__millrace_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("__millrace_keep")).drop("__millrace_keep").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))

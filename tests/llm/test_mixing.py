@@ -1,22 +1,22 @@
 from __future__ import annotations
 
-import duckdb
 import pytest
 
 from millrace.llm import mixing
 
+from ..oracle import connection
 from .conftest import DATA
 
 
 def oracle(rows):
-    c = duckdb.connect()
+    c = connection()
     c.register("documents", rows)
     return sorted(c.sql(mixing.MIX_SQL.replace("{docs}", "documents")).fetchall(), key=str)
 
 
 def test_equals_sql(documents):
     got = sorted((tuple(r) for r in mixing.mix(documents).collect()), key=str)
-    c = duckdb.connect()
+    c = connection()
     expected = c.sql(mixing.MIX_SQL.replace("{docs}", f"'{DATA}/documents.parquet'")).fetchall()
     assert got == sorted(expected, key=str)
     assert got == sorted((tuple(r) for r in mixing.mix(documents.repartition(3)).collect()), key=str)

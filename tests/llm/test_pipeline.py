@@ -31,25 +31,23 @@ def test_odd_documents(spark, odd_documents, no_documents):
 
 
 def test_run_equals_brute_force(spark):
-    """The whole run against plain Python for each stage: the model's decisions row by row, all pairs of fingerprints,
-    items as substrings of normalised texts, patterns by their definition, and the mix by DuckDB."""
+    """The whole run against plain Python for each stage: the model's decisions row by row, all pairs of shingle sets,
+    items as substrings of normalised texts, patterns by their definition, and the mix by SQL."""
     import re
 
-    import duckdb
-    import numpy as np
     import pandas as pd
 
     from millrace.llm import mixing, quality, secrets
 
+    from ..oracle import connection
     from .test_secrets import slow_base
-    from .test_simhash import brute, slow_fingerprint
+    from .test_shingles import slow_groups, slow_set
 
     documents = spark.read.parquet(f"{DATA}/documents.parquet")
     labels, bench = spark.read.parquet(f"{DATA}/labels.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     good = {r.doc_id for r in quality.classify(documents, labels).where("keep").collect()}
     rows = sorted((r for r in documents.collect() if r.doc_id in good), key=lambda r: r.doc_id)
-    classes = brute(np.array([slow_fingerprint(r.text) for r in rows], np.uint64), [r.doc_id for r in rows])
-    rows = [r for r, c in zip(rows, classes, strict=True) if r.doc_id == c]
+    rows = [rows[k] for k in sorted(set(slow_groups([slow_set(r.text) for r in rows])))]
     plain = lambda t: f" {' '.join(re.findall(r'[^\W_]+', t.lower()))} "
     items = [plain(r.text) for r in bench.collect()]
     rows = [r for r in rows if not any(i in plain(r.text) for i in items)]
@@ -61,7 +59,7 @@ def test_run_equals_brute_force(spark):
         return re.sub("\0+", "[SECRET]", "".join("\0" if c is None else c for c in out))
 
     left = pd.DataFrame([(r.doc_id, masked(r.text), r.source) for r in rows], columns=["doc_id", "text", "source"])
-    c = duckdb.connect()
+    c = connection()
     c.register("left_over", left)
     expected = c.sql(mixing.MIX_SQL.replace("{docs}", "left_over")).fetchall()
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).collect())) == sorted(expected)

@@ -65,9 +65,6 @@ def test_near_duplicates(spark, documents):
     assert [r.component_id for r in rows] == brute(prints, [r.doc_id for r in rows])
     texts = {r.doc_id: r.text for r in documents.collect()}
     assert all(int(r.fingerprint, 16) == slow_fingerprint(texts[r.doc_id]) for r in rows[:20])
-    kept = simhash.one_of_each_group(documents)
-    assert kept.columns == documents.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in rows})
 
 
 def test_odd_rows(odd_documents, no_documents):
@@ -78,11 +75,7 @@ def test_odd_rows(odd_documents, no_documents):
         by.setdefault(r.doc_id, set()).add((r.fingerprint, r.component_id))
     assert by[1] == by[1] and {c for _, c in by[2]} == {1}
     assert by[3] == by[4] == by[5] == {("0" * 16, 3)}
-    kept = simhash.one_of_each_group(odd_documents)
-    assert kept.columns == odd_documents.columns
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    assert ids.count(1) == 1 and 2 not in ids and 3 in ids and 4 not in ids and ids.count(None) == 2
-    assert simhash.near_duplicates(no_documents).count() == 0 and simhash.one_of_each_group(no_documents).count() == 0
+    assert simhash.near_duplicates(no_documents).count() == 0
 
 
 def test_components_of_a_chain(spark):
