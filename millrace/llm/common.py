@@ -7,55 +7,29 @@ empty results.
 
 from __future__ import annotations
 
-import io
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace import session
+from millrace.operators.checkpoints import checkpointed as checkpointed
+
 #: Bytes of text that the vectorised kernels take at once. Bounds a worker's memory whatever the Arrow batch holds: a
 #: byte takes some 60 bytes of temporary arrays, and workers that have ended a task keep their tables of powers.
 SLICE_BYTES = 1 << 20
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only a local master may fall back to a temporary folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="millrace-checkpoints-")
-    sc.setCheckpointDir(folder)
+#: Rows and bytes of a batch that goes to a Python worker, at most (a longer text stands alone).
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package's sources to the executors, once for a context, so that workers can import it anywhere."""
-    sc = spark.sparkContext
-    if getattr(sc, "_millrace_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    body = io.BytesIO()
-    with zipfile.ZipFile(body, "w") as z:
-        for path in sorted(root.rglob("*.py")):
-            z.write(path, f"{root.name}/{path.relative_to(root).as_posix()}")
-    target = Path(tempfile.mkdtemp(prefix="millrace-")) / f"{root.name}.zip"
-    target.write_bytes(body.getvalue())
-    sc.addPyFile(str(target))
-    sc._millrace_shipped = True
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder (survives lost executors)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Let executors import this package, and hand texts to Python workers in batches of bounded bytes: the buffers of a
+    batch lie outside of the heap, and grow by doubling."""
+    session.ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
