@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -80,12 +80,44 @@ def wide_sum(x: Column) -> Column:
     return F.sum(x.cast("decimal(38,0)"))
 
 
+#: Bits of a piece of a double, and the powers of 2**24 at which doubles are cut for exact sums.
+_PIECE, _LOWEST, _HIGHEST = 24, -6, 6
+
+
+def _exact_sum(x: Column) -> Column:
+    """A sum with the error of a few last roundings, in whatever order the rows come: doubles are cut into pieces at fixed
+    powers of two, each piece's integers are summed as integers, and carries are moved up. For magnitudes below 2**200,
+    to 2**-144, and 2**39 rows of a group; a plain sum where larger ones, infinities or NaN occur."""
+    x = x.cast("double")
+    safe = F.when(F.abs(x) < 2.0**200, x)
+    whole = lambda k: F.rint(safe * 2.0 ** (-_PIECE * k))
+    sums = [F.sum((whole(k) - whole(k + 1) * 2.0**_PIECE).cast("bigint")) for k in range(_LOWEST, _HIGHEST)]
+    sums.append(F.sum(whole(_HIGHEST).cast("bigint")))
+    # Carries go up from the lowest piece, and the pieces are added from the highest: struct(carry, pieces so far).
+    start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.array().cast("array<bigint>").alias("pieces"))
+
+    def step(state: Column, s: Column) -> Column:
+        full = state["carry"] + s
+        carry = F.shiftright(full, _PIECE)
+        return F.struct(carry.alias("carry"), F.array_append(state["pieces"], full - F.shiftleft(carry, _PIECE)).alias("pieces"))
+
+    scales = F.array(*[F.lit(2.0 ** (_PIECE * k)) for k in range(_LOWEST, _HIGHEST + 2)])
+
+    def joined(state: Column) -> Column:
+        terms = F.zip_with(F.array_append(state["pieces"], state["carry"]), scales, lambda n, scale: n.cast("double") * scale)
+        return F.aggregate(F.reverse(terms), F.lit(0.0), lambda a, b: a + b)
+
+    return F.when(F.max(F.abs(x)) < 2.0**200, F.aggregate(F.array(*sums), start, step, joined)).otherwise(F.sum(x))
+
+
 def fsum(x: Column) -> Column:
-    return F.sum(x.cast("double"))
+    """A compensated sum."""
+    return _exact_sum(x)
 
 
 def favg(x: Column) -> Column:
-    return F.avg(x.cast("double"))
+    """The mean by a compensated sum."""
+    return _exact_sum(x) / F.count(x)
 
 
 def product(x: Column) -> Column:
@@ -97,26 +129,60 @@ def geomean(x: Column) -> Column:
 
 
 def histogram(x: Column) -> Column:
-    """A map of each value and its count, by value; nulls don't count. The state has one entry for each value."""
-    values = F.collect_list(x)
-    distinct = F.array_sort(F.array_distinct(values))
-    return F.map_from_entries(F.transform(distinct, lambda v: F.struct(v.alias("key"), F.size(F.filter(values, lambda y: y == v)).cast("bigint").alias("value"))))
-
-
-def histogram_bins(x: Column, bins: list) -> list[Column]:
-    """Counts of x <= bins[0], (bins[0], bins[1]], ..., and above the last: one column each, no list of rows."""
-    edges = sorted(bins)
-    out, low = [], None
-    for edge in edges:
-        inside = x <= F.lit(edge) if low is None else (x > F.lit(low)) & (x <= F.lit(edge))
-        out.append(F.count_if(inside).alias(f"bin_{edge}"))
-        low = edge
-    return [*out, F.count_if(x > F.lit(low)).alias("bin_over")]
-
-
-def histogram_exact(x: Column, bins: list) -> list[Column]:
-    """Counts of the rows that equal each bin, and of all other ones."""
-    return [*[F.count_if(x == F.lit(b)).alias(f"bin_{b}") for b in bins], F.count_if(~x.isin(*bins)).alias("bin_other")]
+    """A map of each value and its count, by value; nulls don't count.
+
+    Collects the group, sorts it and counts its runs; ``grouped_histogram`` counts before it collects."""
+    entry = lambda v, n: F.struct(v.alias("key"), F.lit(n).cast("bigint").alias("value"))
+
+    def step(runs: Column, v: Column) -> Column:
+        last = F.element_at(runs, -1)
+        longer = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(v.alias("key"), (last["value"] + 1).alias("value"))))
+        return F.when(F.size(runs) == 0, F.array(entry(v, 1))).when(last["key"] == v, longer).otherwise(F.array_append(runs, entry(v, 1)))
+
+    values = F.array_sort(F.collect_list(x))
+    none = F.filter(F.transform(F.slice(values, 1, 1), lambda v: entry(v, 0)), lambda _: F.lit(False))
+    return F.map_from_entries(F.aggregate(values, none, step))
+
+
+def grouped_histogram(df: DataFrame, keys: list[str], x: Column, name: str = "histogram") -> DataFrame:
+    """(keys, map of each value and its count): counted by value before and after a shuffle, so that what comes together
+    is one entry for each distinct value of a group, in whatever way rows are dealt."""
+    counts = df.where(x.isNotNull()).groupBy(*keys, x.alias("__value")).agg(F.count("*").alias("__n"))
+    maps = counts.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__value", "__n")))).alias(name))
+    empty = F.map_from_arrays(F.array().cast(f"array<{df.select(x.alias('v')).dtypes[0][1]}>"), F.array().cast("array<bigint>"))
+    if not keys:
+        return maps
+    all_keys = df.select(*keys).distinct()
+    same = [all_keys[k].eqNullSafe(maps[k]) for k in keys]
+    return all_keys.join(maps, same, "left").select(*[all_keys[k] for k in keys], F.coalesce(maps[name], empty).alias(name))
+
+
+def _over(x_type: str) -> Column:
+    """The key of what no bin holds: the largest value of a type, infinity for floating point, an empty text."""
+    largest = {"tinyint": 2**7 - 1, "smallint": 2**15 - 1, "int": 2**31 - 1, "bigint": 2**63 - 1}
+    if x_type in largest:
+        return F.lit(largest[x_type]).cast(x_type)
+    return F.lit("inf").cast(x_type) if x_type in ("float", "double") else F.lit("")
+
+
+def _binned(edges: list, counts: list[Column], rest: Column, x_type: str) -> Column:
+    keys = F.array(*[F.lit(e).cast(x_type) for e in edges])
+    some = F.map_from_arrays(keys, F.array(*counts))
+    return F.when(rest > 0, F.map_concat(some, F.map_from_arrays(F.array(_over(x_type)), F.array(rest)))).otherwise(some)
+
+
+def histogram_bins(x: Column, bins: list, x_type: str = "double") -> Column:
+    """A map of each bin's upper edge and the count of x in (edge before, edge]; what is above the last edge has the
+    largest value of the type (infinity for doubles) as its key, if there is any. The state is one number for each bin."""
+    edges = sorted(set(bins))
+    counts = [F.count_if(x <= F.lit(e) if i == 0 else (x > F.lit(edges[i - 1])) & (x <= F.lit(e))) for i, e in enumerate(edges)]
+    return _binned(edges, counts, F.count_if(x > F.lit(edges[-1])), x_type)
+
+
+def histogram_exact(x: Column, bins: list, x_type: str = "double") -> Column:
+    """A map of each bin and the count of the rows that equal it; other rows have the key that histogram_bins gives."""
+    edges = sorted(set(bins))
+    return _binned(edges, [F.count_if(x == F.lit(e)) for e in edges], F.count_if(~x.isin(*edges)), x_type)
 
 
 def bitstring_agg(x: Column, low: int, high: int) -> Column:

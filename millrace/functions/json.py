@@ -1,31 +1,96 @@
 """JSON functions over JSON text.
 
-Paths are "$.a.b[0]", bare keys ("a"), or positions in an array (0-based integers). What built-in functions express
-stays in the JVM; containment, structure and minifying are Arrow-batched Python.
+Paths are "$.a.b[0]", bare keys ("a"), pointers ("/a/b/0"), or positions in an array (0-based integers). Positions from
+the end are [-1] or [#-1]. A path with [*] or .* gives a list. Documents may repeat a key; the first one is found.
+What built-in functions express stays in the JVM; containment and structure are Arrow-batched Python.
 """
 
 from __future__ import annotations
 
 import json as _json
+import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import ship_package
+
 Path = str | int
+_STEP = re.compile(r"""\.?\*|\[\*\]|\[(?:#?-)(\d+)\]|\.[^.\[]+|\['(?:[^'\\]|\\.)*'\]|\[\d+\]""")
 
 
 def json_path(path: Path) -> str:
     if isinstance(path, int):
         return f"$[{path}]"
+    if path.startswith("/"):
+        return "$" + "".join(f"[{x}]" if x.isdigit() else f"['{x}']" for x in path[1:].replace("~1", "/").replace("~0", "~").split("/"))
     if path.startswith("$"):
         return path
     return "$['" + path.replace("'", "\\'") + "']"
 
 
-def _variant(j: Column, path: Path) -> Column:
-    return F.try_variant_get(F.try_parse_json(j), json_path(path), "variant")
+def _is_list(path: Path) -> bool:
+    return isinstance(path, str) and "*" in path and path.startswith("$")
+
+
+def _parsed_variant(j: Column) -> Column:
+    if (spark := SparkSession.getActiveSession()) is not None:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return F.try_parse_json(j)
+
+
+def _get(j: Column, path: Column) -> Column:
+    return F.call_function("get_json_object", j, path)
+
+
+def _steps(path: Path) -> list[str]:
+    text, at, out = json_path(path)[1:], 0, []
+    while at < len(text):
+        m = _STEP.match(text, at)
+        if m is None or text.startswith("..", at):
+            raise ValueError(f"unsupported JSON path: {path}")
+        out.append(m[0])
+        at = m.end()
+    return out
+
+
+def _at(j: Column, path: Path, found: Callable[[Column], Column]) -> Column:
+    """``found`` of the place that a path names, given as a path without wildcards and positions from the end; for a path
+    with wildcards the list of what is there, in the document's order."""
+
+    def walk(so_far: Column, steps: list[str]) -> Column:
+        for i, step in enumerate(steps):  # a wildcard takes the rest of the path into its list
+            if step in ("[*]", ".*", "*"):
+                text = _get(j, so_far)
+                if step == "[*]":
+                    places = F.transform(F.sequence(F.lit(0), F.json_array_length(text) - 1), lambda k: F.concat(so_far, F.lit("["), k.cast("string"), F.lit("]")))
+                    places = F.when(F.json_array_length(text) > 0, places)
+                else:
+                    places = F.transform(F.json_object_keys(text), lambda k: F.concat(so_far, F.lit("['"), k, F.lit("']")))
+                places = F.coalesce(places, F.array().cast("array<string>"))
+                rest = steps[i + 1 :]
+                inner = F.transform(places, lambda x: walk(x, rest))
+                return F.flatten(inner) if any("*" in x for x in rest) else F.filter(inner, lambda x: x.isNotNull())
+            if m := re.fullmatch(r"\[#?-(\d+)\]", step):
+                place = F.json_array_length(_get(j, so_far)) - int(m[1])
+                so_far = F.when(place >= 0, F.concat(so_far, F.lit("["), place.cast("string"), F.lit("]")))
+            else:
+                so_far = F.concat(so_far, F.lit(step))
+        return found(so_far)
+
+    return walk(F.lit("$"), _steps(path))
+
+
+def _variant(j: Column, path: Path | Column) -> Column:
+    if isinstance(path, Column):
+        return F.call_function("try_variant_get", _parsed_variant(j), path, F.lit("variant"))
+    return F.try_variant_get(_parsed_variant(j), json_path(path), "variant")
+
+
+def _plain(path: Path) -> bool:
+    return isinstance(path, int) or not re.search(r"\*|\[#?-", path)
 
 
 def _for_paths(one: Callable[[Path], Column], path) -> Column:
@@ -33,21 +98,34 @@ def _for_paths(one: Callable[[Path], Column], path) -> Column:
 
 
 def json_valid(j: Column) -> Column:
-    return F.when(j.isNotNull(), F.try_parse_json(j).isNotNull())
+    return F.when(j.isNotNull(), _parsed_variant(j).isNotNull())
+
+
+def _raw(j: Column, path: str | Column) -> Column:
+    """JSON text at a path, keys in the document's order."""
+    text = F.get_json_object(j, path) if isinstance(path, str) else _get(j, path)
+    # What starts like an object, an array, a number or a literal may still be a string: the parsed value tells.
+    parsed = F.array(F.to_json(_variant(j, path)))
+    # A repeated key is parsed as its last value, which then isn't the text that was found first.
+    same = lambda v: F.get_json_object(F.concat(F.lit("["), v, F.lit("]")), "$[0]").eqNullSafe(text)
+    return F.transform(parsed, lambda v: F.when((v == "null") & text.isNull(), v).when((F.substring(v, 1, 1) == '"') & same(v), v).when(v.isNotNull(), text))[0]
 
 
 def json_exists(j: Column, path: Path) -> Column:
-    return F.when(j.isNotNull(), _variant(j, path).isNotNull())
+    if _plain(path):
+        return F.when(j.isNotNull(), _variant(j, path).isNotNull())
+    found = json_extract(j, path)
+    return F.when(j.isNotNull(), F.size(found) > 0 if _is_list(path) else found.isNotNull())
 
 
 def json_extract(j: Column, path: Path | list[Path]) -> Column:
-    """JSON text at a path (strings keep their quotes), or a list of texts for a list of paths."""
-    return _for_paths(lambda p: F.to_json(_variant(j, p)), path)
+    """JSON text at a path (strings keep their quotes), a list of texts for a path with wildcards or for a list of paths."""
+    return _for_paths(lambda p: _raw(j, json_path(p)) if _plain(p) else _at(j, p, lambda place: _raw(j, place)), path)
 
 
 def json_extract_string(j: Column, path: Path | list[Path]) -> Column:
     """The text at a path: strings without quotes, all else as JSON."""
-    return _for_paths(lambda p: F.get_json_object(j, json_path(p)), path)
+    return _for_paths(lambda p: F.get_json_object(j, json_path(p)) if _plain(p) else _at(j, p, lambda place: _get(j, place)), path)
 
 
 def json_value(j: Column, path: Path | list[Path]) -> Column:
@@ -81,8 +159,7 @@ def json_keys(j: Column, path: Path | list[Path] = "$") -> Column:
 
 
 def json_type(j: Column, path: Path | list[Path] = "$") -> Column:
-    def one(p: Path) -> Column:
-        text = F.to_json(_variant(j, p))
+    def kind(text: Column) -> Column:
         first = F.substring(text, 1, 1)
         return (
             F.when(text.isNull(), F.lit(None).cast("string"))
@@ -96,7 +173,8 @@ def json_type(j: Column, path: Path | list[Path] = "$") -> Column:
             .otherwise("DOUBLE")
         )
 
-    return _for_paths(one, path)
+    # The document is parsed once for each path, whatever branch is taken.
+    return _for_paths(lambda p: F.transform(F.array(F.to_json(_variant(j, p))), kind)[0], path)
 
 
 # ---------------------------------------------------------------------------------- containment and structure
@@ -132,6 +210,8 @@ def _parsed(text):
 def json_contains(j: Column, needle: Column) -> Column:
     """Is the needle anywhere in the document?"""
 
+    ship_package()
+
     @F.pandas_udf("boolean")
     def run(hays: pd.Series, needles: pd.Series) -> pd.Series:
         out = []
@@ -182,6 +262,8 @@ def _compact(value) -> str:
 
 
 def json_structure(j: Column) -> Column:
+    ship_package()
+
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([_compact(structure_of(v)) if ok else None for ok, v in map(_parsed, texts)], dtype="object")
@@ -209,12 +291,7 @@ def json_group_structure(j: Column) -> Column:
 
 def json_minify(j: Column) -> Column:
     """The document without white space, keys in its own order; null if it isn't JSON."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([_compact(v) if ok else None for ok, v in map(_parsed, texts)], dtype="object")
-
-    return run(j)
+    return _raw(j, "$")
 
 
 # ---------------------------------------------------------------------------------- transformation
@@ -271,6 +348,8 @@ def json_group_array(x: Column, order: Column | None = None) -> Column:
 
 
 def json_group_object(k: Column, v: Column) -> Column:
-    """A JSON object of a group's keys and values, by key; null values are kept."""
+    """A JSON object of a group's keys and values, by key and value; null values and repeated keys are kept."""
     entries = F.array_sort(F.collect_list(F.struct(k.cast("string").alias("k"), v.alias("v"))))
-    return F.to_json(F.map_from_entries(entries), {"ignoreNullFields": "false"})
+    inner = lambda x: F.regexp_replace(F.to_json(F.array(x), {"ignoreNullFields": "false"}), r"(?s)^\[(.*)\]$", "$1")
+    pairs = F.transform(entries, lambda e: F.concat(inner(e["k"]), F.lit(":"), inner(e["v"])))
+    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))

@@ -85,5 +85,5 @@ def escape_uri(text: Column) -> Column:
 
 
 def rounded_int(number: Column) -> Column:
-    """A cast to integer that rounds, as hosts do, where the session's cast cuts off."""
-    return F.round(number).cast("int")
+    """A cast to integer that rounds, as hosts do, where the session's cast cuts off: halves of doubles to the even side."""
+    return F.rint(number).cast("int")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import aggregates, jsons, nested, relational, texts, times, tpch, windows
+from millrace.plans import aggregates, definitions, files, jsons, nested, relational, texts, times, tpch, windows
 
-_MODULES = (tpch, relational, aggregates, windows, times, jsons, nested, texts)
+_MODULES = (tpch, relational, aggregates, windows, times, jsons, nested, texts, files, definitions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

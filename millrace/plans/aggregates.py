@@ -78,21 +78,31 @@ def string_agg_ordered(t: Tables) -> DataFrame:
 
 @_r.add("SELECT o_orderstatus, k, CAST(v AS BIGINT) AS v FROM (SELECT o_orderstatus, unnest(map_keys(h)) AS k, unnest(map_values(h)) AS v FROM (SELECT o_orderstatus, histogram(o_orderpriority) AS h FROM orders GROUP BY o_orderstatus))")
 def histogram(t: Tables) -> DataFrame:
-    grouped = t.orders.groupBy("o_orderstatus").agg(agg.histogram(F.col("o_orderpriority")).alias("h"))
+    grouped = agg.grouped_histogram(t.orders, ["o_orderstatus"], F.col("o_orderpriority"), "h")
     return grouped.select("o_orderstatus", F.explode("h").alias("k", "v"))
 
 
-_BINS = "SELECT l_returnflag, count(*) FILTER (WHERE l_quantity <= 10) AS bin_10, count(*) FILTER (WHERE l_quantity > 10 AND l_quantity <= 25) AS bin_25, count(*) FILTER (WHERE l_quantity > 25) AS bin_over FROM lineitem GROUP BY l_returnflag"
+_ENTRIES = "SELECT g, unnest(map_keys(h)) AS k, CAST(unnest(map_values(h)) AS BIGINT) AS v FROM ({})"
 
 
-@_r.add(_BINS)
+@_r.add(_ENTRIES.format("SELECT o_custkey % 5 AS g, histogram(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 11 END) AS h FROM orders GROUP BY 1"))
+def histogram_column(t: Tables) -> DataFrame:
+    x = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 11)
+    return t.orders.groupBy((F.col("o_custkey") % 5).alias("g")).agg(agg.histogram(x).alias("h")).select("g", F.explode("h").alias("k", "v"))
+
+
+@_r.add(_ENTRIES.format("SELECT l_returnflag AS g, histogram(l_quantity, [10, 25, 50]) AS h FROM lineitem GROUP BY 1 UNION ALL SELECT l_linestatus, histogram(l_quantity, [7, 30]) FROM lineitem GROUP BY 1"))
 def histogram_bins(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_returnflag").agg(*agg.histogram_bins(F.col("l_quantity"), [10, 25]))
+    q = F.col("l_quantity")
+    both = t.lineitem.groupBy(F.col("l_returnflag").alias("g")).agg(agg.histogram_bins(q, [10, 25, 50]).alias("h"))
+    both = both.unionByName(t.lineitem.groupBy(F.col("l_linestatus").alias("g")).agg(agg.histogram_bins(q, [7, 30]).alias("h")))
+    return both.select("g", F.explode("h").alias("k", "v"))
 
 
-@_r.add("SELECT l_returnflag, count(*) FILTER (WHERE l_linenumber = 1) AS bin_1, count(*) FILTER (WHERE l_linenumber = 3) AS bin_3, count(*) FILTER (WHERE l_linenumber NOT IN (1, 3)) AS bin_other FROM lineitem GROUP BY l_returnflag")
+@_r.add(_ENTRIES.format("SELECT l_returnflag AS g, histogram_exact(l_linenumber, [1, 3]) AS h FROM lineitem GROUP BY 1"))
 def histogram_exact(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_returnflag").agg(*agg.histogram_exact(F.col("l_linenumber"), [1, 3]))
+    found = t.lineitem.groupBy(F.col("l_returnflag").alias("g")).agg(agg.histogram_exact(F.col("l_linenumber"), [1, 3], "int").alias("h"))
+    return found.select("g", F.explode("h").alias("k", "v"))
 
 
 @_r.add("SELECT n_regionkey, round(product(1 + n_nationkey / 100.0), 9) AS p FROM nation GROUP BY n_regionkey")
@@ -105,9 +115,10 @@ def geomean(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_returnflag").agg(F.round(agg.geomean(F.col("l_extendedprice")), 4).alias("g"))
 
 
-@_r.add("SELECT l_returnflag, round(fsum(l_discount), 4) AS s, round(favg(l_discount), 8) AS a FROM lineitem GROUP BY l_returnflag")
+@_r.add("SELECT l_returnflag, round(fsum(l_discount), 9) AS s, round(favg(l_discount), 12) AS a, round(fsum(CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE -1 END * l_extendedprice * l_partkey), 4) AS c FROM lineitem GROUP BY l_returnflag")
 def fsum_favg(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_returnflag").agg(F.round(agg.fsum(F.col("l_discount")), 4).alias("s"), F.round(agg.favg(F.col("l_discount")), 8).alias("a"))
+    signed = F.when(F.col("l_orderkey") % 2 == 0, 1).otherwise(-1) * F.col("l_extendedprice") * F.col("l_partkey")
+    return t.lineitem.groupBy("l_returnflag").agg(F.round(agg.fsum(F.col("l_discount")), 9).alias("s"), F.round(agg.favg(F.col("l_discount")), 12).alias("a"), F.round(agg.fsum(signed), 4).alias("c"))
 
 
 @_r.add("SELECT n_regionkey, CAST(bitstring_agg(n_nationkey, 0, 24) AS VARCHAR) AS bits FROM nation GROUP BY n_regionkey")
@@ -115,9 +126,11 @@ def bitstring_agg(t: Tables) -> DataFrame:
     return t.nation.groupBy("n_regionkey").agg(agg.bitstring_agg(F.col("n_nationkey"), 0, 24).alias("bits"))
 
 
-@_r.add()
+@_r.add("SELECT o_orderstatus, count(DISTINCT o_custkey) > 0 AS within FROM orders GROUP BY o_orderstatus")
 def approx_count_distinct(t: Tables) -> DataFrame:
-    return t.orders.agg(agg.approx_count_distinct(F.col("o_custkey")).alias("n"))
+    """Is the estimate within four of its standard errors of the count?"""
+    near = F.abs(agg.approx_count_distinct(F.col("o_custkey")) - F.count_distinct("o_custkey")) <= 0.2 * F.count_distinct("o_custkey")
+    return t.orders.groupBy("o_orderstatus").agg(near.alias("within"))
 
 
 @_r.add("SELECT o_orderstatus, CAST(sum(o_orderkey * 1000000000) AS DECIMAL(38,0)) AS s FROM orders GROUP BY o_orderstatus")
@@ -125,7 +138,7 @@ def sum_wide(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_orderstatus").agg(agg.wide_sum(F.col("o_orderkey").cast("decimal(38,0)") * 1000000000).cast("decimal(38,0)").alias("s"))
 
 
-@_r.add("SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS \"F\", count(*) FILTER (WHERE o_orderstatus = 'O') AS \"O\", count(*) FILTER (WHERE o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY o_orderpriority")
+@_r.add("SELECT * FROM (PIVOT orders ON o_orderstatus IN ('F', 'O', 'P') USING count(*) GROUP BY o_orderpriority)")
 def pivot(t: Tables) -> DataFrame:
     return ops.pivot(t.orders, ["o_orderpriority"], "o_orderstatus", ["F", "O", "P"], F.count(F.lit(1))).na.fill(0)
 

@@ -40,6 +40,21 @@ def json_extract_paths(t: Tables) -> DataFrame:
     return _docs(t).select("o_orderkey", x[0].alias("s"), x[1].alias("e"), x[2].alias("n"))
 
 
+#: Arrays, objects, repeated keys, numbers as they are written, and places from the end.
+_ODD_SQL = """(SELECT o_orderkey, '{ "z": [' || o_orderkey % 7 || ', 1e3, {"b":1.50, "a":"x\\"y"}], "k":' || o_orderkey % 5 || ', "a": {"y":"' || o_orderstatus || '","x":[[1,2],[3]]}, "k":"again", "n": null }' AS j FROM orders) d"""
+_ODD_PATHS = ("$", "$.z", "$.z[2]", "$.z[2].a", "$.z[-1]", "$.z[#-2]", "$.z[-9]", "$.k", "$.a", "/a/x/0", "/z/2/b", "$.n", "$.none")
+_ODD_LISTS = ("$.z[*]", "$.a.*", "$.a.x[*][*]", "$.a.x[*][0]", "$.k[*]", "$.none.*")
+
+
+@_r.add(f"SELECT o_orderkey, {', '.join(f'CAST(json_extract(j, {p!r}) AS VARCHAR) AS p{i}' for i, p in enumerate(_ODD_PATHS))}, {', '.join(f'array_to_string(CAST(json_extract(j, {p!r}) AS VARCHAR[]), chr(124)) AS l{i}' for i, p in enumerate(_ODD_LISTS))}, json_valid(j) AS v FROM {_ODD_SQL}")
+def json_extract_whole(t: Tables) -> DataFrame:
+    key = F.col("o_orderkey")
+    parts = ['{ "z": [', key % 7, ', 1e3, {"b":1.50, "a":"x\\"y"}], "k":', key % 5, ', "a": {"y":"', F.col("o_orderstatus"), '","x":[[1,2],[3]]}, "k":"again", "n": null }']
+    docs = t.orders.select("o_orderkey", F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).alias("j"))
+    lists = [F.array_join(js.json_extract(_j(), p), "|").alias(f"l{i}") for i, p in enumerate(_ODD_LISTS)]
+    return docs.select("o_orderkey", *[js.json_extract(_j(), p).alias(f"p{i}") for i, p in enumerate(_ODD_PATHS)], *lists, js.json_valid(_j()).alias("v"))
+
+
 @_r.add(f"SELECT o_orderkey, json_extract_string(j, '$.status') AS s, json_extract_string(j, 'id') AS i, json_extract_string(j, '$.sub') AS o FROM {_DOC_SQL}")
 def json_extract_string(t: Tables) -> DataFrame:
     return _docs(t).select("o_orderkey", js.json_extract_string(_j(), "$.status").alias("s"), js.json_extract_string(_j(), "id").alias("i"), js.json_extract_string(_j(), "$.sub").alias("o"))
@@ -94,14 +109,16 @@ def json_transform(t: Tables) -> DataFrame:
     return _docs(t).select("o_orderkey", x.alias("x")).select("o_orderkey", "x.id", "x.status", "x.half", "x.sub.n", "x.nope")
 
 
-@_r.add("SELECT n_regionkey, CAST(to_json(list(n_name ORDER BY n_nationkey)) AS VARCHAR) AS a FROM nation GROUP BY n_regionkey")
+@_r.add("SELECT n_regionkey, CAST(json_group_array(n_name) AS VARCHAR) AS a FROM (SELECT * FROM nation ORDER BY n_nationkey) GROUP BY n_regionkey")
 def json_group_array(t: Tables) -> DataFrame:
     return t.nation.groupBy("n_regionkey").agg(js.json_group_array(F.col("n_name"), F.col("n_nationkey")).alias("a"))
 
 
-@_r.add("SELECT n_regionkey, '{' || string_agg('\"' || n_name || '\":' || n_nationkey, ',' ORDER BY n_name) || '}' AS o FROM nation GROUP BY n_regionkey")
+@_r.add("SELECT n_regionkey, CAST(json_group_object(k, v) AS VARCHAR) AS o FROM (SELECT n_regionkey, substr(n_name, 1, 1) AS k, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_name END AS v FROM nation ORDER BY k, v NULLS FIRST) GROUP BY n_regionkey")
 def json_group_object(t: Tables) -> DataFrame:
-    return t.nation.groupBy("n_regionkey").agg(js.json_group_object(F.col("n_name"), F.col("n_nationkey")).alias("o"))
+    """Keys repeat, values are null in part."""
+    name = F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name"))
+    return t.nation.groupBy("n_regionkey").agg(js.json_group_object(F.substring("n_name", 1, 1), name).alias("o"))
 
 
 @_r.add(f"SELECT o_orderkey % 4 AS g, CAST(json_group_structure(CAST(j AS JSON)) AS VARCHAR) AS s FROM {_DOC_SQL} GROUP BY 1")

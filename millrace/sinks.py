@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from posixpath import dirname, join
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.time import date_pattern
+from millrace.operators.checkpoints import checkpointed
 from millrace.sources.access import OPEN, AccessPolicy
 from millrace.sources.files import read_csv, read_json, read_parquet
 
@@ -61,8 +62,7 @@ def copy_to(df: DataFrame, path: str, policy: AccessPolicy = OPEN, **options) ->
         df = df.withColumnsRenamed({**{c: f"_p_{c}" for c in partition_by}, **{f"__{c}": c for c in partition_by}})
         partition_by = [f"_p_{c}" for c in partition_by]
     if kind == "json" and options.get("array"):
-        body = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})), ",\n\t"), F.lit("]"))
-        df, kind = df.agg(body.alias("value")), "text"  # one document is one row
+        df, kind = _array_lines(df), "text"
     mode = "append" if options.get("append") else "overwrite" if options.get("overwrite") or options.get("overwrite_or_ignore") or not folder else "errorifexists"
     writer_options = _writer_options(kind, codec, options)
     if folder:
@@ -77,6 +77,17 @@ def copy_to(df: DataFrame, path: str, policy: AccessPolicy = OPEN, **options) ->
     _put_in_place(spark, work, path)
 
 
+def _array_lines(df: DataFrame) -> DataFrame:
+    """The lines of a JSON array, one element a line, so that no row holds more than one element. The brackets and commas
+    follow from each line's number and the number of lines, which is counted first."""
+    rows = checkpointed(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")))
+    n = rows.count()
+    if not n:
+        return df.sparkSession.createDataFrame([("[]",)], "value string")
+    numbered = rows.coalesce(1).select("value", F.monotonically_increasing_id().alias("i"))  # one file has one writer
+    return numbered.select(F.concat(F.when(F.col("i") == 0, "[").otherwise("\t"), F.col("value"), F.when(F.col("i") == n - 1, "]").otherwise(",")).alias("value"))
+
+
 def _writer_options(kind: str, codec: str | None, options: dict) -> dict[str, str]:
     out: dict[str, str] = {}
     compression = options.get("compression") or codec
@@ -153,8 +164,9 @@ def copy_from(spark: SparkSession, table: str, path: str, policy: AccessPolicy =
     if len(rows.columns) != len(target):
         raise ValueError(f"{path} has {len(rows.columns)} columns, {table} has {len(target)}")
     typed = rows.select(*[F.col(f"`{c}`").cast(f.dataType).alias(f.name) for c, f in zip(rows.columns, target.fields, strict=True)])
-    typed.write.insertInto(table)
-    return typed.count()
+    seen = Observation()
+    typed.observe(seen, F.count(F.lit(1)).alias("n")).write.insertInto(table)
+    return seen.get["n"]
 
 
 def copy_to_stdout(df: DataFrame, delimiter: str = "\t", null: str = "\\N") -> str:

@@ -52,7 +52,8 @@ OPEN = AccessPolicy()
 
 
 def configure_store(spark: SparkSession, kind: str, **values: str) -> dict[str, str]:
-    """Set a remote store's keys on the session: kind "s3" (also gcs and r2, by endpoint) or "azure"."""
+    """Set a remote store's keys on the session: kind "s3" (also gcs and r2, by endpoint) or "azure". Settings of a running
+    session reach its file systems under their own names; file systems that are already open keep theirs."""
     names = {
         "s3": {"key_id": "fs.s3a.access.key", "secret": "fs.s3a.secret.key", "session_token": "fs.s3a.session.token", "region": "fs.s3a.endpoint.region", "endpoint": "fs.s3a.endpoint", "url_style": "fs.s3a.path.style.access", "use_ssl": "fs.s3a.connection.ssl.enabled"},
         "azure": {"account": "", "account_key": "fs.azure.account.key.{account}.dfs.core.windows.net"},
@@ -62,7 +63,7 @@ def configure_store(spark: SparkSession, kind: str, **values: str) -> dict[str,
         if key not in names:
             raise ValueError(f"unknown setting of a {kind} store: {key}")
         if names[key]:
-            out["spark.hadoop." + names[key].format(**values)] = ("true" if value == "path" else "false") if key == "url_style" else value
+            out[names[key].format(**values)] = ("true" if value == "path" else "false") if key == "url_style" else value
     for key, value in out.items():
         spark.conf.set(key, value)
     return out

@@ -109,19 +109,27 @@ def read_csv(
     union_by_name: bool = False,
     hive_partitioning: bool = True,
     force_not_null: list[str] | None = None,
+    auto_type_candidates: list[str] | None = None,
+    new_line: str | None = None,
+    max_line_size: int = 2_097_152,
+    quoted_newlines: bool | None = None,
     policy: AccessPolicy = OPEN,
 ) -> DataFrame:
-    """CSV files. Delimiter, header and types are found from the first lines where they aren't given; columns without
-    names are column00, column01, ... (a digit more than the last needs at least one). A type that the sample suggests
-    and a later field doesn't fit fails the read, or drops the line with ignore_errors."""
+    """CSV files. Delimiter, header and types are found from the first ``sample_size`` lines where they aren't given;
+    columns without names are column00, column01, ... (a digit more than the last needs at least one). Quoted values may
+    hold line ends: files in whose sample they do are read whole, each by one task (``quoted_newlines`` says it).
+
+    A line with another number of fields than the sample's fails the read; with null_padding a shorter one is filled up
+    with nulls, and with ignore_errors such lines, and lines whose fields don't fit their types, are dropped."""
     found = _checked(paths, policy)
     if union_by_name and len(found) > 1:
-        frames = [read_csv(spark, p, delim=delim, sep=sep, quote=quote, escape=escape, header=header, skip=skip, names=names, types=types, nullstr=nullstr, all_varchar=all_varchar, auto_detect=auto_detect, sample_size=sample_size, dateformat=dateformat, timestampformat=timestampformat, decimal_separator=decimal_separator, ignore_errors=ignore_errors, null_padding=null_padding, normalize_names=normalize_names, filename=filename, policy=policy) for p in found]
+        frames = [read_csv(spark, p, delim=delim, sep=sep, quote=quote, escape=escape, header=header, skip=skip, names=names, types=types, nullstr=nullstr, all_varchar=all_varchar, auto_detect=auto_detect, sample_size=sample_size, dateformat=dateformat, timestampformat=timestampformat, decimal_separator=decimal_separator, ignore_errors=ignore_errors, null_padding=null_padding, normalize_names=normalize_names, filename=filename, force_not_null=force_not_null, auto_type_candidates=auto_type_candidates, new_line=new_line, max_line_size=max_line_size, quoted_newlines=quoted_newlines, compression=compression, policy=policy) for p in found]
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f, allowMissingColumns=True)
         return out
-    lines = [r[0] for r in spark.read.option("recursiveFileLookup", str(not hive_partitioning).lower()).text(found[0]).select("value").limit(skip + 200).collect()][skip:]
+    lines = [r[0] for r in spark.read.option("recursiveFileLookup", str(not hive_partitioning).lower()).text(found[0]).select("value").limit(skip + max(1, sample_size)).collect()][skip:]
+    multiline = quoted_newlines if quoted_newlines is not None else auto_detect and any(x.count(quote) % 2 for x in lines)
     delimiter = delim or sep or (sniff_delimiter(lines, quote) if auto_detect else ",")
     cut = _split_lines(lines, delimiter, quote)
     header = has_header(cut) if header is None and auto_detect and not names else bool(header)
@@ -135,13 +143,18 @@ def read_csv(
     if normalize_names:
         names = [_normalized(n) for n in names]
     nulls = [nullstr] if isinstance(nullstr, str) else list(nullstr)
-    options = {"sep": delimiter, "quote": quote, "escape": escape, "header": str(header and skip == 0).lower(), "nullValue": nulls[0], "mode": "DROPMALFORMED" if ignore_errors else "PERMISSIVE", "enforceSchema": "true", "comment": "\x00"}
+    options = {"sep": delimiter, "quote": quote, "escape": escape, "header": str(header and skip == 0).lower(), "nullValue": nulls[0], "mode": "DROPMALFORMED" if ignore_errors else "PERMISSIVE" if null_padding else "FAILFAST", "enforceSchema": "true", "comment": "\x00", "multiLine": str(multiline).lower(), "maxCharsPerColumn": str(max_line_size)}
+    if new_line:
+        options["lineSep"] = {"\\n": "\n", "\\r\\n": "\r\n", "\\r": "\r"}.get(new_line, new_line)
     if compression and compression not in ("auto", "none"):
         options["compression"] = compression
     schema = ", ".join(f"`{n}` STRING" for n in names)
     if skip:  # the first lines of each file have the lowest numbers in a read of that file alone
         frames = []
-        parse = {k: v for k, v in options.items() if k not in ("header", "mode", "enforceSchema", "comment", "compression")}
+        parse = {k: v for k, v in options.items() if k not in ("header", "enforceSchema", "comment", "compression", "multiLine", "lineSep")}
+        if multiline:
+            raise ValueError("skip and line ends in quoted values don't go together")
+        parse["mode"] = "PERMISSIVE" if ignore_errors else parse["mode"]
         for path in found:
             rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("filename"), F.monotonically_increasing_id().alias("_i"))
             rows = rows.where(F.col("_i") >= skip + int(header)).select(F.from_csv("value", schema, parse).alias("_x"), "filename")
@@ -159,11 +172,12 @@ def read_csv(
     given = dict(zip(names, types, strict=False)) if isinstance(types, list) else dict(types or {})
     kinds = {n: spark_type(given[n]).simpleString() for n in names if n in given}
     if auto_detect:
-        sample = cut[1 if header else 0 :][:sample_size]
+        sample = cut[1 if header else 0 :]
+        wanted = {spark_type(t).simpleString() for t in auto_type_candidates} if auto_type_candidates else None
         for i, n in enumerate(names):
             if n not in kinds:
-                kinds[n] = _sniffed([r[i] for r in sample if i < len(r) and r[i] not in nulls], dateformat, decimal_separator)
-    out = []
+                kinds[n] = _sniffed([r[i] for r in sample if i < len(r) and r[i] not in nulls], dateformat, decimal_separator, wanted)
+    out, fits = [], F.lit(True)
     for n in names:
         c, kind = F.col(f"`{n}`"), kinds.get(n, "string")
         if kind in ("double", "float") or kind.startswith("decimal"):
@@ -172,19 +186,23 @@ def read_csv(
             c = F.to_date(c, date_pattern(dateformat))
         elif kind.startswith("timestamp") and timestampformat:
             c = F.to_timestamp(c, date_pattern(timestampformat)).cast(kind)
-        else:
+        elif kind != "string":
+            if ignore_errors:
+                fits = fits & (c.isNull() | c.try_cast(kind).isNotNull())
             c = c.try_cast(kind) if ignore_errors else c.cast(kind)
         out.append(c.alias(n))
-    return df.select(*out, *(["filename"] if filename else []))
+    return (df.where(fits) if ignore_errors else df).select(*out, *(["filename"] if filename else []))
 
 
 def _split_lines(lines: list[str], delimiter: str, quote: str) -> list[list[str]]:
     import csv
 
-    return [r for r in csv.reader([x for x in lines if x], delimiter=delimiter, quotechar=quote)]
+    rows = [r for r in csv.reader((f"{x}\n" for x in lines), delimiter=delimiter, quotechar=quote) if r]
+    # A sample may end inside a quoted value, and its last line then looks longer or shorter than it is.
+    return rows[:-1] if len(rows) > 2 and "".join(lines).count(quote) % 2 else rows
 
 
-def _sniffed(values: list[str], dateformat: str | None, decimal_separator: str) -> str:
+def _sniffed(values: list[str], dateformat: str | None, decimal_separator: str, wanted: set[str] | None = None) -> str:
     """The narrowest of bigint, double, boolean, date, timestamp and text that fits all values."""
     if not values:
         return "string"
@@ -197,7 +215,7 @@ def _sniffed(values: list[str], dateformat: str | None, decimal_separator: str)
         ("timestamp_ntz", r"\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?"),
     )
     for kind, pattern in checks:
-        if all(re.fullmatch(pattern, v.strip()) for v in values):
+        if (wanted is None or kind in wanted) and all(re.fullmatch(pattern, v.strip()) for v in values):
             return kind
     if dateformat and all(re.search(r"\d", v) for v in values):
         return "date"

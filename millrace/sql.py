@@ -18,10 +18,11 @@ def row_subscripts(text: str, aliases: set[str] | None = None) -> str:
     return _SUBSCRIPT.sub(lambda m: f"{m[1]}.`{m[2]}`" if aliases is None or m[1] in aliases else m[0], text)
 
 
-def _outside_strings(text: str, change) -> str:
+def outside_strings(text: str, change, strings: str | None = None) -> str:
+    """``change`` of all but the strings in a text; strings: what to write in their place."""
     out, at = [], 0
     for m in _STRING.finditer(text):
-        out += [change(text[at : m.start()]), m[0]]
+        out += [change(text[at : m.start()]), m[0] if strings is None else strings]
         at = m.end()
     return "".join([*out, change(text[at:])])
 
@@ -46,7 +47,7 @@ class Prepared:
         if names and (names[-1] > len(values) or len(values) > max(names[-1], len(self.types))):
             raise ValueError(f"wrong number of parameters: {names[-1]} needed, {len(values)} given")
         typed = lambda m: f"CAST(:p{m[1]} AS {self.types[int(m[1]) - 1]})" if len(self.types) >= int(m[1]) else f":p{m[1]}"
-        text = _outside_strings(row_subscripts(self.text), lambda part: _PLACEHOLDER.sub(typed, part))
+        text = outside_strings(row_subscripts(self.text), lambda part: _PLACEHOLDER.sub(typed, part))
         df = self.spark.sql(text, args={f"p{i}": v for i, v in enumerate(values, 1)} if names else None)
         shape = [(f.name, f.dataType) for f in df.schema.fields]
         if self.schema is not None and shape != [(f.name, f.dataType) for f in self.schema.fields]:

@@ -73,6 +73,32 @@ def test_csv_sniffing(spark, tmp_path):
     assert df.columns[:2] == ["k", "column01"] and df.dtypes[0][1] == "int"
 
 
+def test_csv_samples_and_faults(spark, tmp_path):
+    read = lambda name, **k: sources.read_csv(spark, str(tmp_path / name), **k)
+    (tmp_path / "late.csv").write_text("a,b\n" + "".join(f"{i},x\n" for i in range(400)) + "word,y\n")
+    assert dict(read("late.csv").dtypes)["a"] == "string" and read("late.csv").count() == 401
+    assert dict(read("late.csv", sample_size=50).dtypes)["a"] == "bigint"
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        read("late.csv", sample_size=50).collect()
+    assert read("late.csv", sample_size=50, ignore_errors=True).count() == 400
+    (tmp_path / "quoted.csv").write_text('a,b\n1,"two\nlines, ""here"""\n2,"x"\n')
+    assert rows(read("quoted.csv")) == [(1, 'two\nlines, "here"'), (2, "x")]
+    (tmp_path / "ragged.csv").write_text("a,b,c\n1,2,3\n4,5\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        read("ragged.csv").collect()
+    assert rows(read("ragged.csv", null_padding=True)) == [(1, 2, 3), (4, 5, None)]
+    assert rows(read("ragged.csv", ignore_errors=True)) == [(1, 2, 3)]
+    assert read("ragged.csv", auto_type_candidates=["double", "varchar"], null_padding=True).dtypes[0][1] == "double"
+
+
+def test_store_settings_reach_the_file_systems(spark):
+    from millrace.sources.access import configure_store
+
+    configure_store(spark, "s3", key_id="k", url_style="path")
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    assert (conf.get("fs.s3a.access.key"), conf.get("fs.s3a.path.style.access")) == ("k", "true")
+
+
 def test_parquet_options(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "a"))
     spark.range(2).select("id", F.lit("x").alias("extra")).write.parquet(str(tmp_path / "b"))

@@ -48,7 +48,7 @@ def test_constraints(db):
             tables.insert(frame(bad), "k")
     with pytest.raises(tables.ConstraintViolation):
         tables.update(db, "k", {"id": "1"})
-    tables.drop_constraint("k", check="small")
+    tables.drop_constraint(db, "k", check="small")
     tables.insert(frame((3, 10)), "k")
     assert db.table("k").count() == 3
     tables.drop_table(db, "k")
@@ -58,12 +58,44 @@ def test_ctas_and_materialized_view(db):
     tables.create_table_as(db.range(3), "src")
     tables.create_table_as(db.range(3), "empty", with_data=False)
     assert db.table("empty").count() == 0
-    mv = tables.MaterializedView(db, "mv", lambda s: s.table("src").groupBy((F.col("id") % 2).alias("k")).count()).create()
+    tables.create_materialized_view(db, "mv", "SELECT id % 2 AS k, count(*) AS n FROM src WHERE 'x' = 'x' GROUP BY 1")
     db.range(10, 14).write.insertInto("src")
     assert values(db, "mv") == [(0, 2), (1, 1)]
-    mv.refresh()
+    tables.refresh_materialized_view(db, "mv")
+    tables.refresh_materialized_view(db, "t.mv")
     assert values(db, "mv") == [(0, 4), (1, 3)]
-    mv.drop()
+    with pytest.raises(ValueError, match="not a materialized view"):
+        tables.refresh_materialized_view(db, "src")
+    tables.create_temporary_table_as(db.table("src").where("id > 11"), "temporary")
+    assert values(db, "temporary") == [(12,), (13,)]
+
+
+def test_partitions_and_constraints_follow(db):
+    """Rewrites keep partitions; constraints and defaults are found by any name of the table and follow its columns."""
+    rules = tables.Constraints(not_null=["id"], checks={"positive": "id > 0", "short": "length(name) < 5 OR name = 'id'"}, unique=[["id", "k"]])
+    tables.create_table(db, "p", "id INT, name STRING, k INT", rules, ["k"], {"name": "'none'"})
+    frame = lambda *r: db.createDataFrame(list(r), "id int, k int")
+    tables.insert(frame((1, 1), (2, 1), (3, 2)), "p")
+    tables.delete(db, "p", "id = 2")
+    tables.rename_column(db, "p", "id", "number")
+    assert [c.name for c in db.catalog.listColumns("p") if c.isPartition] == ["k"]
+    assert values(db, "p") == [(1, "none", 1), (3, "none", 2)]
+    for name in ("p", "t.p", "spark_catalog.t.p"):
+        with pytest.raises(tables.ConstraintViolation, match="positive"):
+            tables.insert(db.createDataFrame([(-5, 1)], "number int, k int"), name)
+    tables.drop_column(db, "t.p", "name")
+    assert tables.constraints(db, "p") == tables.Constraints(["number"], {"positive": "`number` > 0"}, [["number", "k"]])
+    with pytest.raises(tables.ConstraintViolation):
+        tables.insert(db.createDataFrame([(3, 2)], "number int, k int"), "p")
+    tables.set_default(db, "p", "k", "7")
+    tables.insert(db.createDataFrame([(9,)], "number int"), "p")
+    assert values(db, "p")[-1] == (9, 7)
+
+
+def test_stored_view(db):
+    tables.create_stored_view(db, "sv", "SELECT id * 2 AS d FROM range(3)")
+    tables.rename_view(db, "sv", "sw")
+    assert values(db.newSession(), "t.sw") == [(0,), (2,), (4,)] and tables.drop_view(db, "sw") and not tables.drop_view(db, "sw")
 
 
 def test_views(spark):
