@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import re
+import time
+from html import unescape
+
 import pytest
 
 from millrace.llm import html
@@ -42,6 +46,49 @@ def test_small_pages(page, text):
     assert html.extract(page, []) == text
 
 
+LEDE = "A lede that says in a sentence what follows. "
+BODY = "A sentence of the body, which is long enough to be read as prose. " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article class='article side'><p>{BODY}</p></article>", BODY),
+        (f"<article><p>{BODY}</p><section id='related-work'><h2>Related work</h2><p>{LEDE}</p></section></article>", f"{BODY}\nRelated work\n{LEDE}"),
+        (f"<body><header><p>Site name and a slogan.</p></header><article><header><h1>Headline</h1></header><p>{BODY}</p></article></body>", f"Headline\n{BODY}"),
+        (f"<article><p>So <math><mi>x</mi>=1</math> and press <button>Go</button> now.</p><p>{BODY}</p><button>Subscribe</button></article>", f"So x=1 and press Go now.\n{BODY}"),
+        (f"<article><h1>Head</h1><p>{LEDE}</p><div class='body'><p>{BODY}</p></div><div class='more'><p>{LEDE}</p></div></article>", f"Head\n{LEDE}\n{BODY}\n{LEDE}"),
+        (f"<body><div class='post'><h1>Head</h1><p>{LEDE}</p><div class='body'><p>{BODY}</p></div></div><div><a href='/'>Home page of it</a></div></body>", f"Head\n{LEDE}\n{BODY}"),
+        (f"<body><div id='x'><p>{LEDE}</p><ol><li>{BODY}</li><li>{BODY}</li></ol></div></body>", f"{LEDE}\n{BODY}\n{BODY}"),
+        (f"<main><p>{BODY}</p><div class='related-posts'><p>{LEDE}</p></div><div id='comments'><p>{LEDE}</p></div><div class='share'>{LEDE}</div></main>", BODY),
+        (f"<p title=it's>{BODY}</p><p>don't</p>", f"{BODY}\ndon't"),
+    ],
+)
+def test_nothing_of_an_article_is_lost(page, text):
+    assert html.extract(page, []) == "\n".join(x.strip() for x in text.split("\n"))
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ["<a ", "<a b='", '<a b="', "<", "<div>", "<head>", "</head", "<div></p>", "<!--", "<p>&", "</div>", "<ul><li>", "<table><tr><td>", "<a b=", "<svg/>", "<style>", "<div class='a b>c'>x"],
+)
+def test_hostile_pages_take_linear_time(unit):
+    page = unit * (1_000_000 // len(unit)) + '"'
+    began = time.process_time()
+    html.extract(page, ["html>body>div"])
+    assert time.process_time() - began < 4
+
+
+def test_labelled_pages(spark):
+    """Against the articles of the generated pages, which are marked as such; words found and words wanted."""
+    pages = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/pages.parquet")
+    source = {r.page_id: r.html for r in pages.collect()}
+    for r in html.main_text(pages).collect():
+        inside = re.search(r"<article>(.*?)(?:</article>|<footer>|\Z)", source[r.page_id], re.DOTALL)[1]
+        blocks = [" ".join(unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br[^>]*>", " ", x))).split()) for x in re.split(r"</?(?:h1|p|ul|li)\b[^>]*>", inside)]
+        assert r.text == "\n".join(x for x in blocks if x)
+
+
 def test_hosts_agree(spark):
     body = "<html><body><div class='c{0}'><p>{1}</p></div><div class='tail'><p>{2}</p></div></body></html>"
     long, short = "A long sentence that is the article of this page, as it should be. " * 3, "Short one."
