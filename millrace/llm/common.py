@@ -108,11 +108,27 @@ def _word_bytes() -> np.ndarray:
 WORD_BYTES = _word_bytes()
 
 
+def _unspaced(data: np.ndarray, inside: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """The first bytes of whole three-byte characters of scripts without spaces; marks among them leave ``inside``."""
+    lead = np.flatnonzero((data[:-2] >= 0xE0) & (data[:-2] <= 0xEF)) if len(data) > 2 else np.zeros(0, np.int64)
+    if not len(lead):
+        return []
+    a, b, c = data[lead], data[lead + 1], data[lead + 2]
+    marks = (a == 0xE3) & (b == 0x80)
+    marks |= (a == 0xEF) & ((b == 0xBC) & ((c <= 0x8F) | (c >= 0x9A) & (c <= 0xA0) | (c >= 0xBB)) | (b == 0xBD) & ((c <= 0x80) | (c >= 0x9B) & (c <= 0xA5)))
+    for k in range(3):
+        inside[lead[marks] + k] = False
+    single = ~marks & ((a >= 0xE3) & (a <= 0xE9) | (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB))
+    return [(lead[single], 3)]
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of normalised text and their 64-bit hashes.
 
-    ``data`` is lower-cased UTF-8; a word is a run of ASCII letters, digits and non-ASCII characters other than
-    general punctuation. Returns (hash, start byte, end byte, first word of each row and one past the last).
+    ``data`` is lower-cased UTF-8; a word is a run of ASCII letters, digits and non-ASCII characters other than general
+    punctuation, CJK punctuation and full-width marks. Scripts that put no spaces between words (Han, kana, Bopomofo,
+    Thai, Lao) have a word for each character. Returns (hash, start byte, end byte, first word of each row and one past
+    the last).
     """
     n = len(data)
     if not n:
@@ -127,6 +143,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     inside[nbsp + 1] = False
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True  # a row's first byte starts a word of its own
+    for start, width in _unspaced(data, inside):  # so do a character of these scripts, and what follows it
+        cut[start] = cut[start + width] = True
     before = np.concatenate(([False], inside[:-1]))
     after = np.concatenate((inside[1:], [False]))
     starts = np.flatnonzero(inside & (~before | cut[:-1]))

@@ -78,7 +78,38 @@ def test_blocks_and_odd_rows(spark, documents, odd_documents, no_documents):
         for r in documents.collect():
             pairs += [(r.doc_id, f[1]) for f in decontam.leaks(pa.array([r.text]), block, decontam.LEAST_COVERAGE)]
     assert sorted(pairs) == [w[:2] for w in whole]
+    assert sorted(map(tuple, decontam.leaked_pairs(documents, bench, block_bytes=2000).collect())) == whole
+    kept = sorted(map(tuple, decontam.without_leaks(documents, bench).collect()))
+    assert kept == sorted(map(tuple, decontam.without_leaks(documents, bench, block_bytes=2000).collect()))
+    assert {r[0] for r in kept} == {r.doc_id for r in documents.collect()} - {w[0] for w in whole}
     assert decontam.without_leaks(odd_documents, bench).count() == odd_documents.count()
     assert decontam.leaked_pairs(no_documents, bench).count() == 0
     assert decontam.leaked_pairs(odd_documents, bench.where("false")).count() == 0
     assert decontam.without_leaks(odd_documents, bench.where("false")).schema == odd_documents.schema
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    zh = "今天天气很好，我们去公园散步吧。"
+    bench = spark.createDataFrame([(1, "What is 2 + 2?"), (2, "Yes"), (3, zh), (4, "สวัสดีครับ"), (5, "What is 2 + 2?")], "item_id long, text string")
+    rows = [(1, "Q: what is 2+2? A: 4"), (2, "yes, it is"), (3, "YES!"), (4, f"前言{zh}后记"), (5, "今天天气 很好"), (6, "ก สวัสดี ครับ"), (7, "2 what is 2"), (8, "我们去公园散步吧，今天天气很好")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontam.leaked_pairs(docs, bench).collect())
+    assert got == [(1, 1), (1, 5), (3, 2), (4, 3), (6, 4), (8, 3)]
+
+
+def test_hot_seeds_in_bounded_parts(monkeypatch):
+    """A passage that all items and all documents share, joined in small parts, against the definition."""
+    monkeypatch.setattr(decontam, "MOST_PLACES", 7)
+    rng = random.Random(9)
+    hot = "please choose the best answer of the following four".split()
+    items = [hot + [f"i{k}w{j}" for j in range(rng.randrange(2, 16))] for k in range(40)]
+    docs = [hot * 2 + items[k][len(hot) :] + ["and"] + hot[:4] for k in range(0, 40, 3)] + [hot * 5]
+    block = decontam.ItemBlock(list(range(40)), [" ".join(i) for i in items], 5)
+    got = {(r, i): c for r, i, _, c, _ in decontam.leaks(pa.array([" ".join(d) for d in docs]), block, 0.6)}
+    expected = {}
+    for r, d in enumerate(docs):
+        for i, item in enumerate(items):
+            covered = sum(t[2] for t in slow_tiles(d, item, 5))
+            if covered >= 0.6 * len(item):
+                expected[r, i] = covered
+    assert got == expected and len(got) > 40
