@@ -6,8 +6,9 @@ each shingle's XXH64 (seed 42) votes on every bit. Two fingerprints are linked w
 
 The search never compares all pairs. Equal fingerprints are collapsed first. A vantage-point tree is fitted to a
 bounded sample; every fingerprint has one home leaf, and a fingerprint whose ball of the radius crosses a split also
-visits the leaves beyond it (both triangle bounds are kept, so no pair is lost). Inside a leaf the distances to a
-local vantage point bound which fingerprints can be near each other. A leaf gives a spanning forest of its links and
+visits the leaves beyond it (both triangle bounds are kept, so no pair is lost). The sample bounds the leaves that are
+dealt to tasks; a leaf that holds more than ``LOCAL_LEAF`` fingerprints is split by a tree of its own in its task, in
+the same way. Inside a leaf the distances to a local vantage point bound which fingerprints can be near each other. A leaf gives a spanning forest of its links and
 not the pairs themselves, so a group of thousands of near copies costs its size.
 """
 
@@ -23,8 +24,9 @@ from millrace.llm.common import checkpointed
 from millrace.llm.components import connected_components
 
 SEED = 42
-#: Fingerprints that a leaf of the tree should hold, the sampled ones that one leaf is fitted on, and the most of both.
-LEAF_SIZE, LEAF_SAMPLE, MOST_LEAVES = 4_000, 48, 16_384
+#: Fingerprints that a leaf of the tree should hold, the sampled ones that one leaf is fitted on, the most leaves that the
+#: driver fits, and the fingerprints from which on a leaf is split again in its task.
+LEAF_SIZE, LEAF_SAMPLE, MOST_LEAVES, LOCAL_LEAF = 4_000, 48, 16_384, 12_000
 _BLOCK = 1 << 21
 
 
@@ -115,8 +117,18 @@ class VantageTree:
         return index, leaf, home
 
 
-def leaf_forest(prints: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(print, root) of every print of a leaf that has a link in it; root is the least print linked to it."""
+def leaf_forest(prints: np.ndarray, home: np.ndarray, radius: int, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(print, root) of every print of a leaf that has a link in it; root is a print that links connect it with (the
+    least one, unless the leaf is split again)."""
+    if len(prints) > LOCAL_LEAF and depth < 8:
+        levels = int(np.ceil(np.log2(len(prints) / LEAF_SIZE)))
+        sample = np.random.default_rng(depth).choice(prints, min(len(prints), LEAF_SAMPLE << levels), replace=False)
+        index, leaf, at_home = VantageTree(sample, levels, radius).routes(prints)
+        order = np.argsort(leaf, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1)
+        if max(map(len, parts)) <= 0.9 * len(prints):  # else a ball that no vantage point splits: compared as it is
+            found = [leaf_forest(prints[index[p]], at_home[p], radius, depth + 1) for p in parts]
+            return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
     order = np.argsort(~home, kind="stable")
     prints, homes = prints[order], int(home.sum())
     label = np.arange(len(prints))

@@ -44,8 +44,13 @@ def brute(prints, ids):
     return [least[find(i)] for i in range(len(prints))]
 
 
-def test_links_are_exact(spark, monkeypatch):
+@pytest.mark.parametrize("local", [12_000, 60])
+def test_links_are_exact(spark, monkeypatch, local):
+    """Over many leaves, and over few leaves that are split again in their tasks."""
     monkeypatch.setattr(simhash, "LEAF_SIZE", 40)
+    monkeypatch.setattr(simhash, "LOCAL_LEAF", local)
+    if local == 60:
+        monkeypatch.setattr(simhash, "MOST_LEAVES", 2)
     random = np.random.default_rng(5)
     base = random.integers(0, 2**63, 600, dtype=np.int64).view(np.uint64)
     near = np.concatenate([base[:300] ^ (np.uint64(1) << random.integers(0, 64, 300).astype(np.uint64)) for _ in range(3)])
