@@ -6,7 +6,7 @@
 3. Slot i of the schedule has the golden-ratio point frac(i * phi), which cumulative block shares map to a source.
    A slot's rank among its source's slots names the block it reads (rank modulo blocks) and the pass (rank over
    blocks). Ranks stop at the blocks that the target needs. The points leave every source within a few slots of its
-   share; the few that are missing are appended.
+   share; the few that are missing are appended, without a number.
 4. Slots join blocks, and blocks their documents' pieces.
 
 Line positions and ranks are prefix sums in two levels (within a bucket, then over buckets), so that a source with a
@@ -108,7 +108,7 @@ def schedule(sources: DataFrame, slot_bucket: int = SLOT_BUCKET) -> DataFrame:
     wanted = sources.where("need > 0").select("key", "blocks", "need")
     late = wanted.join(had, "key", "left").withColumn("_had", F.coalesce("_had", F.lit(0))).where("_had < need")
     late = late.select("key", F.explode(F.sequence(F.col("_had"), F.col("need") - 1)).alias("rank"))
-    late = late.select((F.lit(total) + F.xxhash64("key", "rank") % (1 << 20) + (1 << 20)).alias("slot"), "key", "rank")
+    late = late.select(F.lit(None).cast("long").alias("slot"), "key", "rank")  # after all other slots
     chosen = ranked.unionByName(late).join(wanted, "key").where("rank < need")
     return chosen.select("slot", "key", "rank", (F.col("rank") % F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("pass"))
 
@@ -129,26 +129,28 @@ def block_pieces(lines: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, most_passes: int = 3) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every row of ``docs`` (doc_id, text, source).
+    """(doc_id, size, source_size, target, taken, first_slot) of every row of ``docs`` (doc_id, text, source).
 
-    taken: the words that all scheduled blocks take from the document, passes counted. A null text has size 0; an
+    taken: the words that all scheduled blocks take from the document, passes counted. first_slot: the first slot of the
+    schedule that reads a block with some of the document's words (null if none does). A null text has size 0; an
     empty document is never taken; a null source is a source of its own; repeated rows are documents of their own and
     share what is taken from rows that equal them. An empty table gives no rows.
     """
     sized = checkpointed(sized_documents(docs))
     sources = checkpointed(with_blocks(source_targets(sized, most_passes), block_words))
     lines = checkpointed(document_lines(sized))
-    reads = schedule(sources).groupBy("key", "block").agg(F.count("*").alias("reads"))
+    reads = schedule(sources).groupBy("key", "block").agg(F.count("*").alias("reads"), F.min("slot").alias("slot"))
     pieces = block_pieces(lines, sources).join(reads, ["key", "block"])
-    taken = pieces.groupBy("source", "doc_id", "at").agg(F.sum(F.col("words") * F.col("reads")).alias("taken"))
-    taken = taken.select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("at").alias("_a"), "taken")
+    taken = pieces.groupBy("source", "doc_id", "at").agg(F.sum(F.col("words") * F.col("reads")).alias("taken"), F.min("slot").alias("first_slot"))
+    taken = taken.select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("at").alias("_a"), "taken", "first_slot")
     info = sources.select(F.col("source").alias("_t"), "source_size", "target")
     out = lines.join(taken, lines["source"].eqNullSafe(taken["_s"]) & lines["doc_id"].eqNullSafe(taken["_d"]) & (lines["at"] == taken["_a"]) & (lines["size"] > 0), "left")
     out = out.join(info, out["source"].eqNullSafe(info["_t"]))
-    return out.select(lines["doc_id"], F.col("size"), F.col("source_size"), F.col("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select(lines["doc_id"], F.col("size"), F.col("source_size"), F.col("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
-#: The same in SQL. {docs} is the table of documents. Blocks are read by rank: a block's reads follow from the slots of its source.
+#: The same in SQL. {docs} is the table of documents. The schedule is made slot by slot: the golden-ratio point of each
+#: slot falls into the interval of a source, and a source's slots read its blocks in turn.
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM {docs}),
@@ -171,11 +173,24 @@ ordered AS (
   SELECT doc_id, source, size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM sized),
 lines AS (
   SELECT doc_id, source, size, coalesce(CAST(sum(size) OVER (PARTITION BY source ORDER BY CAST(('0x' || substr(h, 1, 4)) AS INTEGER) % 256, h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS pos, row_number() OVER () AS n FROM ordered),
-placed AS (SELECT l.*, s.source_size, s.target, s.blocks, s.need FROM lines l JOIN needed s ON l.source IS NOT DISTINCT FROM s.source),
+placed AS (SELECT l.*, s.source_size, s.target, s.blocks, s.need, s.key FROM lines l JOIN needed s ON l.source IS NOT DISTINCT FROM s.source),
 cut AS (
   SELECT *, unnest(generate_series(((pos + 1) * blocks - 1) // source_size, ((pos + size) * blocks - 1) // source_size)) AS block FROM placed WHERE size > 0),
+spread AS (
+  SELECT key, blocks, need, CAST(sum(need) OVER () AS BIGINT) AS slots, CAST(sum(need) OVER (ORDER BY key) AS BIGINT) AS upto FROM needed WHERE need > 0),
+bounds AS (
+  SELECT key, blocks, need, slots, CAST((upto - need)::HUGEINT * 2147483648 // slots AS BIGINT) AS lo, CAST(upto::HUGEINT * 2147483648 // slots AS BIGINT) AS hi FROM spread),
+points AS (
+  SELECT i AS slot, i % 2147483648 * 1327217885 % 2147483648 AS point FROM (SELECT unnest(range((SELECT coalesce(max(slots), 0) FROM spread))) AS i)),
+mapped AS (SELECT p.slot, b.key FROM points p ASOF JOIN (SELECT * FROM bounds WHERE lo < hi) b ON p.point >= b.lo),
+early AS (SELECT slot, key, row_number() OVER (PARTITION BY key ORDER BY slot) - 1 AS rank FROM mapped),
+had AS (SELECT key, count(*) AS had FROM early GROUP BY key),
+late AS (
+  SELECT CAST(NULL AS BIGINT) AS slot, s.key, unnest(range(coalesce(had, 0), need)) AS rank FROM spread s LEFT JOIN had USING (key) WHERE coalesce(had, 0) < need),
+chosen AS (SELECT e.slot, e.key, rank % blocks AS block FROM (SELECT * FROM early UNION ALL SELECT * FROM late) e JOIN spread USING (key) WHERE rank < need),
+reads AS (SELECT key, block, count(*) AS reads, min(slot) AS slot FROM chosen GROUP BY key, block),
 pieces AS (
-  SELECT n, (least(pos + size, (block + 1) * source_size // blocks) - greatest(pos, block * source_size // blocks)) * (need // blocks + CASE WHEN block < need % blocks THEN 1 ELSE 0 END) AS words FROM cut),
-taken AS (SELECT n, CAST(sum(words) AS BIGINT) AS taken FROM pieces GROUP BY n)
-SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(t.taken, 0) AS taken FROM placed p LEFT JOIN taken t USING (n)
+  SELECT n, (least(pos + size, (block + 1) * source_size // blocks) - greatest(pos, block * source_size // blocks)) * reads AS words, slot FROM cut JOIN reads USING (key, block) WHERE least(pos + size, (block + 1) * source_size // blocks) > greatest(pos, block * source_size // blocks)),
+taken AS (SELECT n, CAST(sum(words) AS BIGINT) AS taken, min(slot) AS first_slot FROM pieces GROUP BY n)
+SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(t.taken, 0) AS taken, t.first_slot FROM placed p LEFT JOIN taken t USING (n)
 """
