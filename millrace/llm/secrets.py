@@ -7,7 +7,8 @@ way to guess it costs at least ``10**LEAST_COST`` tries. That cost is the minimu
 into common words, pronounceable words, dates, repeats, keyboard walks and brute-force spans, found by dynamic
 programming over the value's prefixes.
 
-A null text is an empty text. Long texts are scanned whole, and values have no greatest length.
+A null text is an empty text. Long texts are scanned whole, and values have no greatest length. Repeated rows are answered
+once each. Spans of different kinds may overlap; of one kind they don't.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -38,14 +40,13 @@ _NAMES = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer
 _BASE_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _HEX_CLASS = bytes(ord("h") if chr(c) in "0123456789abcdef" else 0 for c in range(256))
 
-#: Passwords and words that guessers try first, most frequent first.
+#: Passwords and words that guessers try first, most frequent first. A longer list can be given to ``scan``
+#: and ``redact``; this one is kept short, of words that lists of common passwords and of function words begin with.
 COMMON = (
     "password 123456 qwerty abc123 letmein monkey dragon master admin welcome login princess solo starwars passw0rd hello freedom whatever "
     "trustno1 shadow ashley football jesus michael ninja mustang access flower secret love summer winter spring autumn test guest root user "
     "changeme default example sample token key pass word the and for you that with this from have are not one all out day man new old big"
 ).split()
-_RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-_LONGEST = max(map(len, COMMON))
 _LEET = str.maketrans("4@301$57!", "aaeoissti")
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _PLACE = {c: (y, x + y * 0.5) for y, row in enumerate(_ROWS) for x, c in enumerate(row)}
@@ -64,11 +65,33 @@ def _brute(c: str) -> float:
     return math.log10(next((n for pattern, n in _CLASSES if pattern.fullmatch(c)), 33 if c < "\x80" else 1000))
 
 
-def guess_cost(value: str, enough: float = math.inf) -> float:
+class Words:
+    """Common words, most frequent first, by their rank."""
+
+    def __init__(self, words: Iterable[str] = COMMON) -> None:
+        self.rank: dict[str, int] = {}
+        for i, w in enumerate(words):
+            self.rank.setdefault(w.lower(), i + 1)
+        self.longest = max(map(len, self.rank), default=0)
+        self.costly = lru_cache(maxsize=4096)(self._costly)
+
+    def __reduce__(self):
+        return Words, (list(self.rank),)
+
+    def _costly(self, value: str) -> bool:
+        return guess_cost(value, LEAST_COST, self) >= LEAST_COST
+
+    def is_costly(self, value: str) -> bool:
+        return self.costly(value) if len(value) <= 256 else self._costly(value)
+
+
+def guess_cost(value: str, enough: float = math.inf, words: Words | None = None) -> float:
     """log10 of the tries that the cheapest segmentation of ``value`` needs. Empty: 0.
 
     Costs from ``enough`` on aren't told apart: the search ends where no cheaper segmentation goes on, so that the time
     grows with the value's length at most. Below ``enough`` the cost is exact."""
+    words = words or WORDS
+    rank_of = words.rank.get
     n, lower = len(value), value.lower()
     if len(lower) != n:  # a letter whose lower case is longer
         lower = value
@@ -89,10 +112,10 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
                 reach = max(reach, j)
 
         offer(i + 1, _brute(value[i]))
-        for j in range(i + 2, min(n, i + _LONGEST) + 1):  # common words, also with look-alike characters and in capitals
-            rank = _RANK.get(lower[i:j]) or _RANK.get(plain[i:j])
+        for j in range(i + 2, min(n, i + words.longest) + 1):  # common words, also with look-alike characters and in capitals
+            rank = rank_of(lower[i:j]) or rank_of(plain[i:j])
             if rank:
-                offer(j, math.log10(rank * (1 if value[i:j] == lower[i:j] else 2) * (1 if lower[i:j] in _RANK else 4) + 1))
+                offer(j, math.log10(rank * (1 if value[i:j] == lower[i:j] else 2) * (1 if rank_of(lower[i:j]) else 4) + 1))
         dates = []
         if value[i].isdigit():
             dates = [m.end() for m in [_DATE.match(value, i)] if m]
@@ -132,16 +155,10 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
     return min(best[n], enough)
 
 
-@lru_cache(maxsize=4096)
-def _short_is_costly(value: str) -> bool:
-    return guess_cost(value, LEAST_COST) >= LEAST_COST
-
+WORDS = Words()
 
-def _costly(value: str) -> bool:
-    return _short_is_costly(value) if len(value) <= 256 else guess_cost(value, LEAST_COST) >= LEAST_COST
 
-
-def spans(text: str | None) -> list[tuple[int, int, str]]:
+def spans(text: str | None, words: Words = WORDS) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every span of a whole text, by start and then by kind."""
     if not text:
         return []
@@ -155,7 +172,7 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
     if b"h" * LEAST_HEX in raw.translate(_HEX_CLASS):
         found += [(*m.span(), "hex") for m in _HEX.finditer(text)]
     if any(name.encode() in low for name in _NAMES):
-        found += [(*m.span(1), "guess") for m in _CONTEXT.finditer(text) if _costly(m[1].rstrip(".:!?"))]
+        found += [(*m.span(1), "guess") for m in _CONTEXT.finditer(text) if words.is_costly(m[1].rstrip(".:!?"))]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -163,13 +180,15 @@ def _joined(found: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in found)
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, words: Iterable[str] = COMMON) -> DataFrame:
     """A row for every row of ``docs`` (doc_id, text): counts of the fixed kinds, the SHA-256 of their joined spans,
-    and all spans joined as ``kind:start:end``. No spans: counts of 0, the hash of the empty string, an empty string."""
+    and all spans joined as ``kind:start:end``. words: common words, most frequent first; every task gets them. No spans: counts of 0, the hash of the empty string, an empty string."""
+
+    known = Words(words)
 
     def run(batches):
         for batch in batches:
-            rows = [spans(t.as_py()) for t in batch.column(1)]
+            rows = [spans(t.as_py(), known) for t in batch.column(1)]
             base = [[s for s in r if s[2] != "guess"] for r in rows]
             counts = [pa.array([sum(s[2] == kind for s in r) for r in base], pa.int64()) for kind in KINDS[:3]]
             digests = pa.array([hashlib.sha256(_joined(r).encode()).hexdigest() for r in base], pa.string())
@@ -178,9 +197,9 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redacted(text: str | None, mask: str = "[SECRET]") -> str | None:
+def redacted(text: str | None, mask: str = "[SECRET]", words: Words = WORDS) -> str | None:
     """The text with every span (overlapping ones as one) replaced by ``mask``."""
-    found = spans(text)
+    found = spans(text, words)
     if not found:
         return text
     merged: list[list[int]] = []
@@ -196,16 +215,17 @@ def redacted(text: str | None, mask: str = "[SECRET]") -> str | None:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, words: Iterable[str] = COMMON) -> DataFrame:
     """``docs`` with the secrets in ``text`` masked; n_chars, where there is such a column, follows a changed text.
     All other columns and all rows stay."""
     names, schema = docs.columns, docs.schema
+    known = Words(words)
     at, counted = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
         for batch in (part for whole in batches for part in batch_slices(whole, "text")):
             columns, before = list(batch.columns), batch.column(at).to_pylist()
-            after = [redacted(t) for t in before]
+            after = [redacted(t, words=known) for t in before]
             columns[at] = pa.array(after, batch.schema.field(at).type)
             if counted is not None:
                 n = [len(b) if b is not a else old for a, b, old in zip(before, after, batch.column(counted).to_pylist(), strict=True)]

@@ -102,3 +102,54 @@ def test_bounded_costs():
     for unit in ("a", "qw"):  # in time that grows with the length
         repeated = sum(map(secrets._brute, unit)) + secrets.math.log10(200_000 // len(unit))
         assert secrets.guess_cost(unit * (200_000 // len(unit)), secrets.LEAST_COST) <= repeated
+
+
+def slow_piece(piece):
+    """The least cost of a piece as one word, date, repeat, walk or character, each by its own definition."""
+    import math
+
+    log, low = math.log10, piece.lower()
+    brute = lambda c: log(10 if c in "0123456789" else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 1000)
+    found = [brute(piece)] if len(piece) == 1 else []
+    plain = low.translate(str.maketrans("4@301$57!", "aaeoissti"))
+    ranks = {w: i + 1 for i, w in reversed(list(enumerate(secrets.COMMON)))}
+    if len(piece) > 1 and (low in ranks or plain in ranks):
+        found.append(log((ranks.get(low) or ranks[plain]) * (1 if piece == low else 2) * (1 if low in ranks else 4) + 1))
+    if re.fullmatch(r"(19|20)\d\d", piece):
+        found.append(log(120))
+    day, month = r"(0?[1-9]|[12]\d|3[01])", r"(0?[1-9]|1[0-2])"
+    if any(re.fullmatch(rf"(19|20)\d\d{s}{month}{s}{day}|{day}{s}{month}{s}(19|20)\d\d", piece) for s in ("", "-", r"\.", "/", "_")):
+        found.append(log(365 * 120))
+    for unit in range(1, len(piece) // 2 + 1):
+        times = len(piece) // unit
+        if unit <= 8 and len(piece) >= 3 and piece == piece[:unit] * times:
+            found.append(sum(map(brute, piece[:unit])) + log(times))
+    if len(piece) >= 4 and all(secrets._adjacent(a, b) for a, b in zip(low, low[1:])):
+        steps = [tuple(y - x for x, y in zip(secrets._PLACE[a], secrets._PLACE[b])) for a, b in zip(low, low[1:])]
+        found.append(log(47) + log(len(piece)) + log(6) * sum(a != b for a, b in zip(steps, steps[1:])))
+    if len(piece) >= 4 and re.fullmatch(r"[a-z]+", low) and not re.search(r"[aeiouy]{4}|[^aeiouy]{4}", low) and len({c.isupper() for c in piece[1:]}) == 1:
+        found.append(1 + 0.45 * (len(piece) - 1))
+    return min(found, default=math.inf)
+
+
+def test_guess_costs_equal_all_segmentations():
+    import itertools
+    import random
+
+    r = random.Random(11)
+    pieces = ["pass", "the", "qwer", "asd", "aa", "abab", "2020", "1987", "1-2-", "P@ss", "Lov", "e", "x9$", "Zr", "é", "tion"]
+    for _ in range(400):
+        value = "".join(r.choice(pieces) for _ in range(r.randint(1, 5)))[: r.randint(4, 11)]
+        cuts = range(1, len(value))
+        best = min(
+            sum(slow_piece(value[a:b]) for a, b in zip((0, *chosen), (*chosen, len(value))))
+            for n in range(len(value))
+            for chosen in itertools.combinations(cuts, n)
+        )
+        assert secrets.guess_cost(value) == pytest.approx(best), value
+
+
+def test_given_words(spark):
+    docs = spark.createDataFrame([(1, "password = Xkcdqz92Xvbgtr")], "doc_id long, text string")
+    assert "guess" in secrets.scan(docs).first()["spans"] and "guess" not in secrets.scan(docs, ["xkcdqz", "xvbgtr", "92"]).first()["spans"]
+    assert secrets.redact(docs, ["xkcdqz", "xvbgtr", "92"]).first()["text"] == "[SECRET]"  # by the fixed pattern
