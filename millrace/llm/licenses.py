@@ -4,7 +4,12 @@ Texts are lower-cased words without punctuation. A passage of a text matches a t
 both) is at least ``LEAST_DICE``, shared bigrams counted with repeats. That bounds a passage's size from both sides by
 the template's, and the shared bigrams from below: templates whose bigrams are too few within the largest allowed
 passage are pruned before any coefficient is computed. Passages begin and end with a shared bigram. Of passages that
-overlap, the one with the highest coefficient stays (then the longer one, then the earlier one, then by name).
+overlap, of one template the one with the highest coefficient stays, then of several templates the one with the most
+shared bigrams, so that a licence isn't taken for one that it contains (ties: the higher coefficient, the longer passage,
+the earlier one, then by name).
+
+``TEMPLATES`` are the notices and the short licences that are named there; the bodies of long licences (GPL, LGPL, AGPL,
+MPL, EPL, Apache) are not among them. ``scan`` takes other templates, whatever their length.
 
 A null text is an empty text and matches nothing; a text of any length is scanned whole; repeated rows are answered
 once each.
@@ -13,6 +18,7 @@ once each.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,6 +80,29 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
         "materials provided with the distribution.",
     ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in "
+        "binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission.",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+        "from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+        "alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not "
+        "claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be "
+        "appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original "
+        "software. This notice may not be removed or altered from any source distribution.",
+    ),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/",
+    ),
     (
         "Unlicense",
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
@@ -163,24 +192,35 @@ def matches(column: pa.Array, templates: Templates) -> list[tuple[int, str, floa
         for r in np.unique(row[a][(row[a] == row[b]) & (hit[b] - hit[a] < t.longest)]).tolist():
             base, end = int(first[r]), int(first[r + 1])
             places = hit[mine[row[mine] == r]] - base
-            for dice, start, size in best_passages(grams[base : end - 1].tolist(), t, places, templates.least):
-                found.setdefault(r, []).append((-dice, -size, start, t.name))
+            own = [(-dice, -size, start, t.name) for dice, start, size in best_passages(grams[base : end - 1].tolist(), t, places, templates.least)]
+            for dice, size, start, name in _apart(own, lambda p: (p[2], p[2] - p[1])):
+                shared = round(-dice * (t.size - size) / 2)
+                found.setdefault(r, []).append((-shared, dice, size, start, name))
     out = []
     for r in sorted(found):
-        taken: list[tuple[int, int]] = []
-        for dice, size, start, name in sorted(found[r]):
-            if all(start - size + 1 <= a or start >= b for a, b in taken):
-                taken.append((start, start - size + 1))
-                out.append((r, name, -dice, start, 1 - size))
+        out += [(r, name, -dice, start, 1 - size) for _, dice, size, start, name in _apart(found[r], lambda p: (p[3], p[3] - p[2]))]
     return out
 
 
+def _apart(passages: list, span) -> list:
+    """The passages in order, without those that overlap an earlier one. span: first bigram, and one past the last."""
+    kept, taken = [], []
+    for p in sorted(passages):
+        a, b = span(p)
+        if all(b < x or a > y for x, y in taken):
+            taken.append((a, b))
+            kept.append(p)
+    return kept
+
+
 _OUT = "doc_id long, license string, dice double, first_word long, n_words long"
 
 
-def scan(docs: DataFrame, least: float = LEAST_DICE) -> DataFrame:
-    """(doc_id, license, dice, first_word, n_words) of every licence passage in ``docs`` (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(Templates(least=least))
+def scan(docs: DataFrame, least: float = LEAST_DICE, templates: Iterable[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """(doc_id, license, dice, first_word, n_words) of every licence passage in ``docs`` (doc_id, text).
+
+    templates: (name, text); a name may have several texts. They are broadcast: some hundred bytes for each word."""
+    shared = docs.sparkSession.sparkContext.broadcast(Templates(tuple(templates), least))
 
     def run(batches):
         for batch in batches:

@@ -49,3 +49,10 @@ def test_notices(spark, odd_documents, no_documents):
 def test_documents(documents):
     got = {r.doc_id for r in licenses.scan(documents).collect()}
     assert got == {r.doc_id for r in documents.collect() if re.search("licen[sc]e", r.text, re.IGNORECASE)}
+
+
+def test_larger_licence_wins_and_templates_are_given(spark):
+    three = dict(licenses.TEMPLATES)["BSD-3-Clause"].replace("Redistributions", "* Redistributions").replace("Neither", "3. Neither")
+    docs = spark.createDataFrame([(1, f"x {three} y"), (2, dict(licenses.TEMPLATES)["BSD-2-Clause"]), (3, "Use it as you like, for all that I care.")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.license) for r in licenses.scan(docs).collect()) == [(1, "BSD-3-Clause"), (2, "BSD-2-Clause")]
+    assert [(r.doc_id, r.license) for r in licenses.scan(docs, templates=[("Own", "use it as you like for all I care")]).collect()] == [(3, "Own")]
