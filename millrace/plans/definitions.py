@@ -124,3 +124,39 @@ def explain_plan(t: Tables) -> DataFrame:
     """EXPLAIN of a query shows that a filter and two columns reach the scan."""
     text = explain(t.orders.where("o_custkey = 7").select("o_orderkey"))
     return t.spark.range(1).select(F.lit("orders").alias("what"), F.lit("o_totalprice" not in text).alias("pruned"), F.lit("EqualTo(o_custkey,7)" in text).alias("pushed"))
+
+
+def _sql(t: Tables, text: str, **frames: DataFrame) -> DataFrame:
+    return sql.sql(t.spark, text, **frames)
+
+
+@_r.add(
+    "SELECT event_id, time_bucket(INTERVAL '7 days', ts) AS w, time_bucket(INTERVAL '90 minutes', ts) AS m, time_bucket(INTERVAL '3 months', ts) AS q, epoch(ts) AS e, epoch_ms(ts) AS ms, epoch_us(ts) AS us, epoch_ns(ts) AS ns, CAST(isodow(ts) AS INTEGER) AS d FROM events"
+)
+def sql_time_functions(t: Tables) -> DataFrame:
+    text = "SELECT event_id, time_bucket(INTERVAL '7' DAY, ts) AS w, time_bucket(INTERVAL '90' MINUTE, ts) AS m, time_bucket_months(3, ts) AS q, epoch(ts) AS e, epoch_ms(ts) AS ms, epoch_us(ts) AS us, epoch_ns(ts) AS ns, isodow(ts) AS d FROM {events}"
+    return _sql(t, text, events=t.events)
+
+
+@_r.add("SELECT event_id, json_valid(props) AS v, json_exists(props, '$.k') AS x, json_extract_string(props, '$.k') AS k, array_to_string(json_keys(props), ',') AS keys, json_type(props) AS kind, json_type(json_extract(props, '$.k')) AS inner_kind FROM events")
+def sql_json_functions(t: Tables) -> DataFrame:
+    text = "SELECT event_id, json_valid(props) AS v, json_exists(props, '$.k') AS x, json_extract_string(props, '$.k') AS k, array_join(json_keys(props), ',') AS keys, json_type(props) AS kind, json_type(json_extract_string(props, '$.k')) AS inner_kind FROM {events}"
+    return _sql(t, text, events=t.events)
+
+
+@_r.add(
+    "SELECT c_custkey, prefix(c_name, 'Cust') AS p, suffix(c_name, '7') AS s, starts_with(c_mktsegment, 'B') AS st, regexp_matches(c_mktsegment, '^[A-H]') AS r, len(string_split(c_name, '#')) AS n, strpos(c_name, '#') AS at, "
+    "replace(replace(url_encode(c_name || ' *'), '+', '%20'), '*', '%2A') AS u, CAST(c_acctbal / 2 AS INTEGER) AS half, map_extract_value(MAP {'a': c_name}, 'a') AS mv, array_to_string(map_extract(MAP {'a': c_name}, 'b'), ',') AS none, 'arbitrary(x)' AS text FROM customer"
+)
+def sql_text_functions(t: Tables) -> DataFrame:
+    text = (
+        "SELECT c_custkey, prefix(c_name, 'Cust') AS p, suffix(c_name, '7') AS s, starts_with(c_mktsegment, 'B') AS st, regexp_matches(c_mktsegment, '^[A-H]') AS r, CAST(array_length(string_split(c_name, '#')) AS BIGINT) AS n, CAST(strpos(c_name, '#') AS BIGINT) AS at, "
+        "escape_uri(c_name || ' *') AS u, rounded_int(c_acctbal / 2) AS half, map_extract_value(map('a', c_name), 'a') AS mv, array_join(map_extract(map('a', c_name), 'b'), ',') AS none, 'arbitrary(x)' AS text FROM {customer} AS c WHERE c['c_custkey'] >= 0"
+    )
+    return _sql(t, text, customer=t.customer)
+
+
+@_r.add("SELECT o_orderstatus, arg_max_null(o_orderkey, o_totalprice) AS hi, arg_min_null(o_orderkey, o_totalprice) AS lo, round(quantile_cont(o_totalprice, 0.5), 6) AS med, round(variance(o_totalprice), 2) AS v, arbitrary(o_orderstatus) AS a FROM orders GROUP BY o_orderstatus")
+def sql_aggregates(t: Tables) -> DataFrame:
+    text = "SELECT o_orderstatus, arg_max_null(o_orderkey, o_totalprice) AS hi, arg_min_null(o_orderkey, o_totalprice) AS lo, round(quantile_cont(o_totalprice, 0.5), 6) AS med, round(variance(o_totalprice), 2) AS v, arbitrary(o_orderstatus) AS a FROM {orders} GROUP BY o_orderstatus"
+    return _sql(t, text, orders=t.orders)

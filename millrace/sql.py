@@ -1,4 +1,4 @@
-"""SQL text: row subscripts, prepared statements, a SQL function for time buckets."""
+"""SQL text: row subscripts, prepared statements, and functions that SQL can call."""
 
 from __future__ import annotations
 
@@ -28,8 +28,10 @@ def outside_strings(text: str, change, strings: str | None = None) -> str:
 
 
 def sql(spark: SparkSession, text: str, args: dict | list | None = None, rows: set[str] | None = None, **frames: DataFrame) -> DataFrame:
-    """Run SQL in which r['col'] names a column of a row alias; ``frames`` are DataFrames named as {name}."""
-    text = row_subscripts(text, rows)
+    """Run SQL in which r['col'] names a column of a row alias, with the functions of SQL_FUNCTIONS and RENAMED; ``frames``
+    are DataFrames named as {name}."""
+    register_functions(spark)
+    text = renamed_calls(row_subscripts(text, rows))
     return spark.sql(text, args=args, **frames) if args is not None else spark.sql(text, **frames)
 
 
@@ -60,11 +62,59 @@ def prepare(spark: SparkSession, text: str, types: list[str] | None = None) -> P
     return Prepared(spark, text, list(types or []))
 
 
+_MICROS = "unix_micros(CAST(ts AS TIMESTAMP))"
+_WIDTH = "CAST(extract(DAY FROM width) * 86400000000L + extract(HOUR FROM width) * 3600000000L + extract(MINUTE FROM width) * 60000000L + extract(SECOND FROM width) * 1000000 AS BIGINT)"
+_MONTHS = "(year(ts) - 2000) * 12 + month(ts) - 1"
+#: SQL functions with native bodies: name, parameters, result, body. A name has one signature, as the session has it: time
+#: stamps (dates are taken as such), JSON text, maps from text to text.
+SQL_FUNCTIONS: tuple[tuple[str, str, str, str], ...] = (
+    ("time_bucket", "width INTERVAL DAY TO SECOND, ts TIMESTAMP_NTZ", "TIMESTAMP_NTZ", f"CAST(timestamp_micros({_MICROS} - pmod({_MICROS} - 946857600000000L, {_WIDTH})) AS TIMESTAMP_NTZ)"),
+    ("time_bucket_micros", "width BIGINT, ts TIMESTAMP_NTZ", "TIMESTAMP_NTZ", f"CAST(timestamp_micros({_MICROS} - pmod({_MICROS} - 946857600000000L, width)) AS TIMESTAMP_NTZ)"),
+    ("time_bucket_months", "width INT, ts TIMESTAMP_NTZ", "TIMESTAMP_NTZ", f"CAST(add_months(DATE'2000-01-01', {_MONTHS} - pmod({_MONTHS}, width)) AS TIMESTAMP_NTZ)"),
+    ("epoch", "ts TIMESTAMP_NTZ", "DOUBLE", f"{_MICROS} / 1000000D"),
+    ("epoch_ms", "ts TIMESTAMP_NTZ", "BIGINT", f"CAST(round({_MICROS} / 1000D) AS BIGINT)"),
+    ("epoch_us", "ts TIMESTAMP_NTZ", "BIGINT", _MICROS),
+    ("epoch_ns", "ts TIMESTAMP_NTZ", "BIGINT", f"{_MICROS} * 1000"),
+    ("make_timestamp_us", "n BIGINT", "TIMESTAMP_NTZ", "CAST(timestamp_micros(n) AS TIMESTAMP_NTZ)"),
+    ("isodow", "ts TIMESTAMP_NTZ", "INT", "weekday(ts) + 1"),
+    ("json_valid", "j STRING", "BOOLEAN", "CASE WHEN j IS NOT NULL THEN try_parse_json(j) IS NOT NULL END"),
+    ("json_exists", "j STRING, p STRING", "BOOLEAN", "CASE WHEN j IS NOT NULL THEN try_variant_get(try_parse_json(j), p, 'variant') IS NOT NULL END"),
+    ("json_extract_string", "j STRING, p STRING", "STRING", "get_json_object(j, p)"),
+    ("json_keys", "j STRING", "ARRAY<STRING>", "CASE WHEN j IS NOT NULL THEN coalesce(json_object_keys(j), CAST(array() AS ARRAY<STRING>)) END"),
+    (
+        "json_type",
+        "j STRING",
+        "STRING",
+        "CASE substr(to_json(try_parse_json(j)), 1, 1) WHEN '{' THEN 'OBJECT' WHEN '[' THEN 'ARRAY' WHEN '\"' THEN 'VARCHAR' WHEN 't' THEN 'BOOLEAN' WHEN 'f' THEN 'BOOLEAN' WHEN 'n' THEN 'NULL' "
+        "ELSE CASE WHEN to_json(try_parse_json(j)) RLIKE '^[0-9]+$' THEN 'UBIGINT' WHEN to_json(try_parse_json(j)) RLIKE '^-[0-9]+$' THEN 'BIGINT' WHEN try_parse_json(j) IS NOT NULL THEN 'DOUBLE' END END",
+    ),
+    ("map_extract", "m MAP<STRING, STRING>, k STRING", "ARRAY<STRING>", "CASE WHEN map_contains_key(m, k) THEN array(try_element_at(m, k)) ELSE CAST(array() AS ARRAY<STRING>) END"),
+    ("map_extract_value", "m MAP<STRING, STRING>, k STRING", "STRING", "try_element_at(m, k)"),
+    ("map_contains_value", "m MAP<STRING, STRING>, v STRING", "BOOLEAN", "array_contains(map_values(m), v)"),
+    ("prefix", "a STRING, b STRING", "BOOLEAN", "startswith(a, b)"),
+    ("starts_with", "a STRING, b STRING", "BOOLEAN", "startswith(a, b)"),
+    ("suffix", "a STRING, b STRING", "BOOLEAN", "endswith(a, b)"),
+    ("regexp_matches", "a STRING, p STRING", "BOOLEAN", "a RLIKE p"),
+    ("string_split", "a STRING, d STRING", "ARRAY<STRING>", "split(a, concat('\\\\Q', d, '\\\\E'))"),
+    ("strpos", "a STRING, b STRING", "INT", "locate(b, a)"),
+    ("escape_uri", "a STRING", "STRING", "replace(replace(replace(url_encode(a), '+', '%20'), '*', '%2A'), '%7E', '~')"),
+    ("rounded_int", "x DOUBLE", "INT", "CAST(rint(x) AS INT)"),
+)
+#: Aggregates and functions that the session has under another name with the same results.
+RENAMED = {
+    "arg_max_null": "max_by", "arg_min_null": "min_by", "arbitrary": "any_value", "quantile_cont": "percentile", "list_contains": "array_contains", "list_distinct": "array_distinct",
+    "list_sort": "array_sort", "array_length": "size", "list_concat": "concat", "variance": "var_samp", "stddev": "stddev_samp", "to_timestamp_ms": "timestamp_millis",
+}
+_CALL = re.compile(rf"(?<![\w.`])({'|'.join(RENAMED)})(?=\s*\()", re.IGNORECASE)
+
+
 def register_functions(spark: SparkSession) -> None:
-    """Temporary SQL functions whose names no built-in has."""
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION time_bucket_micros(width BIGINT, ts TIMESTAMP_NTZ) RETURNS TIMESTAMP_NTZ RETURN "
-        "CAST(timestamp_micros(unix_micros(CAST(ts AS TIMESTAMP)) - pmod(unix_micros(CAST(ts AS TIMESTAMP)) - 946857600000000L, width)) AS TIMESTAMP_NTZ)"
-    )
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION map_extract_value(m MAP<STRING, STRING>, k STRING) RETURNS STRING RETURN try_element_at(m, k)")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION epoch(ts TIMESTAMP_NTZ) RETURNS DOUBLE RETURN unix_micros(CAST(ts AS TIMESTAMP)) / 1000000D")
+    """Make SQL_FUNCTIONS known to the session, for any SQL text that it runs."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    for name, parameters, result, body in SQL_FUNCTIONS:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
+
+
+def renamed_calls(text: str) -> str:
+    """Calls of RENAMED functions under the session's names; strings stay."""
+    return outside_strings(text, lambda part: _CALL.sub(lambda m: RENAMED[m[1].lower()], part))

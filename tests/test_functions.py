@@ -197,3 +197,29 @@ def test_explain(spark):
     assert json.loads(explain(df, analyze=True, format="json"))["rows"] == 6
     with pytest.raises(ValueError):
         explain(df, format="xml")
+
+
+def test_compensated_sums(spark):
+    import math
+    import random
+
+    r = random.Random(3)
+    cases = [[1e16, 1.0, -1e16, 1.0], [0.1] * 10, [1e100, 1.0], [float("inf"), 1.0], [1e308, 1.0], [5e-40, -5e-40, 1.0], [-0.5, -0.25], [r.uniform(-1, 1) * 10.0 ** r.randrange(-12, 20) for _ in range(500)]]
+    rows = spark.createDataFrame([(i, x) for i, xs in enumerate(cases) for x in [*xs, None]], "k int, x double").repartition(3)
+    got = {row.k: (row.s, row.a) for row in rows.groupBy("k").agg(aggregates.fsum(F.col("x")).alias("s"), aggregates.favg(F.col("x")).alias("a")).collect()}
+    for i, xs in enumerate(cases):
+        assert got[i] == pytest.approx((math.fsum(xs), math.fsum(xs) / len(xs)), rel=1e-15)
+    assert rows.where("x is null").agg(aggregates.fsum(F.col("x"))).first()[0] is None
+
+
+def test_histograms(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("a", 30), ("a", None), ("b", None)], "k string, x int")
+    assert {r.k: r.h for r in rows.groupBy("k").agg(aggregates.histogram(F.col("x")).alias("h")).collect()} == {"a": {1: 2, 30: 1}, "b": {}}
+    assert {r.k: r.histogram for r in aggregates.grouped_histogram(rows, ["k"], F.col("x")).collect()} == {"a": {1: 2, 30: 1}, "b": {}}
+    bins = rows.groupBy("k").agg(aggregates.histogram_bins(F.col("x"), [10, 2], "int").alias("b"), aggregates.histogram_exact(F.col("x"), [30], "int").alias("e"))
+    assert {r.k: (r.b, r.e) for r in bins.collect()} == {"a": ({2: 2, 10: 0, 2147483647: 1}, {30: 1, 2147483647: 2}), "b": ({2: 0, 10: 0}, {30: 0})}
+
+
+@pytest.mark.parametrize(("x", "expected"), [(0.5, 0), (1.5, 2), (2.5, 2), (-0.5, 0), (-3.5, -4), (2.6, 3)])
+def test_rounded_int(spark, x, expected):
+    assert one(spark, strings.rounded_int(F.lit(x))) == expected
