@@ -84,7 +84,11 @@ def union_extract(u: Column, tag: str) -> Column:
 
 
 def list_slice(items: Column, first: int, last: int) -> Column:
-    return F.slice(items, first, max(0, last - first + 1))
+    """Elements from first to last; negative positions count from the end, and what is beyond an end is cut off."""
+    n = F.size(items)
+    place = lambda k: F.lit(k) if k >= 0 else n + 1 + k
+    start = F.greatest(F.lit(1), place(first))
+    return F.when(items.isNotNull(), F.slice(items, start, F.greatest(F.lit(0), F.least(n, place(last)) - start + 1)))
 
 
 def list_element(items: Column, position: int) -> Column:

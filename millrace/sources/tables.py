@@ -38,8 +38,21 @@ def _bytes(spark: SparkSession, path: str) -> bytes:
 _ICEBERG = {"boolean": "boolean", "int": "int", "long": "bigint", "float": "float", "double": "double", "date": "date", "timestamp": "timestamp_ntz", "timestamptz": "timestamp", "string": "string", "uuid": "string", "binary": "binary"}
 
 
-def delta_scan(spark: SparkSession, path: str, version: int | None = None, policy: AccessPolicy = OPEN) -> DataFrame:
-    """A Delta table at its latest or a given version: checkpoint, then the log's adds and removes in order."""
+def _physical(kind: T.DataType) -> T.DataType:
+    """A type with the names that mapped columns have in the files."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.metadata.get("delta.columnMapping.physicalName", f.name), _physical(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_physical(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(_physical(kind.keyType), _physical(kind.valueType))
+    return kind
+
+
+def delta_scan(spark: SparkSession, path: str, version: int | None = None, partition_filter: str | None = None, policy: AccessPolicy = OPEN) -> DataFrame:
+    """A Delta table at its latest or a given version: checkpoint, then the log's adds and removes in order. Mapped columns
+    are read by their names in the files. partition_filter: a condition on partition columns, as SQL, by which files are
+    left out before they are opened."""
     log = join(policy.check(path), "_delta_log")
     versions = [int(n[:20]) for n in _files(spark, log, r"\d{20}\.json") if version is None or int(n[:20]) <= version]
     checkpoints = [n for n in _files(spark, log, r"\d{20}\.checkpoint(\.\d+\.\d+)?\.parquet") if version is None or int(n[:20]) <= version]
@@ -72,14 +85,23 @@ def delta_scan(spark: SparkSession, path: str, version: int | None = None, polic
     if any(a.get("deletionVector") for a in active.values()):
         raise ValueError("Delta tables with deletion vectors are not read")
     full = T.StructType.fromJson(schema)
-    data = T.StructType([f for f in full.fields if f.name not in partitions])
+    plain = [f for f in full.fields if f.name not in partitions]
+    stored = {f.name: f.metadata.get("delta.columnMapping.physicalName", f.name) for f in full.fields}
+    value_of = lambda p, c: (active[p].get("partitionValues") or {}).get(stored[c])
+    if partition_filter and active:
+        texts = spark.createDataFrame([(p, *[value_of(p, c) for c in partitions]) for p in active], "`__path` string" + "".join(f", `{c}` string" for c in partitions))
+        typed = texts.select("__path", *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in full.fields if f.name in partitions])
+        chosen = {r[0] for r in typed.where(partition_filter).select("__path").collect()}  # one row for each file
+        active = {p: a for p, a in active.items() if p in chosen}
     if not active:
-        return spark.createDataFrame([], full)
+        return spark.createDataFrame([], T.StructType([T.StructField(f.name, f.dataType) for f in full.fields]))
     names = {p: p if urlsplit(p).scheme else join(path, unquote(p)) for p in active}
-    df = spark.read.schema(data).parquet(*names.values())
+    df = spark.read.schema(_physical(T.StructType(plain))).parquet(*names.values())
+    if any(stored[f.name] != f.name for f in plain) or _physical(T.StructType(plain)) != T.StructType([T.StructField(f.name, f.dataType) for f in plain]):
+        df = df.select(*[F.col(f"`{stored[f.name]}`").cast(f.dataType).alias(f.name) for f in plain], F.col("_metadata"))
     if partitions:  # values are in the log, one row for each file; the join is on the file's path below the table
         parts = 1 + max(unquote(p).count("/") for p in active if not urlsplit(p).scheme) if any(not urlsplit(p).scheme for p in active) else 1 + len(partitions)
-        rows = [("/".join(n.split("/")[-parts:]), *[(active[p].get("partitionValues") or {}).get(c) for c in partitions]) for p, n in names.items()]
+        rows = [("/".join(n.split("/")[-parts:]), *[value_of(p, c) for c in partitions]) for p, n in names.items()]
         values = spark.createDataFrame(rows, "`__file` string, " + ", ".join(f"`{c}` string" for c in partitions))
         tagged = df.withColumn("__file", F.substring_index(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "/", -parts))
         df = tagged.join(values, "__file").select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in full.fields])

@@ -147,6 +147,23 @@ def test_delta(spark, tmp_path):
     assert rows(sources.delta_scan(spark, str(table), version=0)) == [(0, 1), (1, 1), (10, 2), (11, 2)]
 
 
+def test_delta_mapped_columns_and_pruning(spark, tmp_path):
+    table, log = tmp_path / "m", tmp_path / "m" / "_delta_log"
+    log.mkdir(parents=True)
+    for p in ("1", "2"):
+        inner = F.struct(F.col("id").alias("col-y")).alias("col-s")
+        sinks.copy_to(spark.range(int(p) * 10, int(p) * 10 + 2).select(F.col("id").cast("int").alias("col-a"), inner), str(table / f"f{p}.parquet"))
+    mapped = lambda name, kind, physical: {"name": name, "type": kind, "nullable": True, "metadata": {"delta.columnMapping.physicalName": physical}}
+    schema = {"type": "struct", "fields": [mapped("a", "integer", "col-a"), mapped("s", {"type": "struct", "fields": [mapped("y", "long", "col-y")]}, "col-s"), mapped("p", "integer", "col-p")]}
+    add = lambda p: json.dumps({"add": {"path": f"f{p}.parquet", "partitionValues": {"col-p": p}, "size": 1, "modificationTime": 0, "dataChange": True}})
+    meta = json.dumps({"metaData": {"id": "x", "schemaString": json.dumps(schema), "partitionColumns": ["p"], "configuration": {"delta.columnMapping.mode": "name"}}})
+    (log / f"{0:020d}.json").write_text("\n".join([meta, add("1"), add("2")]))
+    assert [(r.a, r.s.y, r.p) for r in sorted(sources.delta_scan(spark, str(table)).collect())] == [(10, 10, 1), (11, 11, 1), (20, 20, 2), (21, 21, 2)]
+    (table / "f1.parquet").unlink()
+    assert rows(sources.delta_scan(spark, str(table), partition_filter="p > 1").select("a")) == [(20,), (21,)]
+    assert sources.delta_scan(spark, str(table), partition_filter="p > 2").count() == 0
+
+
 def avro(schema: dict, records: list[dict]) -> bytes:
     """A container file with the types that manifests use."""
 

@@ -223,3 +223,8 @@ def test_histograms(spark):
 @pytest.mark.parametrize(("x", "expected"), [(0.5, 0), (1.5, 2), (2.5, 2), (-0.5, 0), (-3.5, -4), (2.6, 3)])
 def test_rounded_int(spark, x, expected):
     assert one(spark, strings.rounded_int(F.lit(x))) == expected
+
+
+@pytest.mark.parametrize(("first", "last", "expected"), [(1, 2, [1, 2]), (0, 2, [1, 2]), (2, 9, [2, 3]), (-2, -1, [2, 3]), (3, 2, []), (5, 9, []), (-9, 1, [1])])
+def test_list_slice(spark, first, last, expected):
+    assert one(spark, maps.list_slice(F.array(F.lit(1), F.lit(2), F.lit(3)), first, last)) == expected
