@@ -8,11 +8,14 @@ bounded memo.
 
 ``Counter`` reads the vocabulary of a byte-level BPE file (.json) given by its path; its tables are small and are
 broadcast. Special strings in a text are special tokens, as the file's library has it by default; nothing is added,
-cut or padded. A null text is an empty text with 0 tokens.
+cut or padded. A null text is an empty text with 0 tokens; repeated rows are answered once each; a text of any length is
+counted whole. Where a budget ends follows from the stored counts (``within``, ``prefix_index``), without encoding anew.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import json
 from pathlib import Path
 
@@ -60,6 +63,7 @@ class Counter:
         self._memo: dict[str, int] = {}
         self._words: dict[str, int] = {}
         self._split = regex.compile(PATTERN)
+        self._white = regex.compile(r"\p{White_Space}+")
         self._on_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
 
     def __getstate__(self) -> dict:
@@ -204,6 +208,34 @@ class Counter:
     def count(self, text: str | None) -> int:
         return self.counts([text])[0]
 
+    def within(self, text: str, budget: int) -> int:
+        """Code points of the longest prefix of at most ``budget`` tokens. What comes before a piece has its stored count,
+        so only the piece in which the budget ends is looked into, by the counts of its own prefixes."""
+        first, *rest = text.split(" ")
+        special = self._on_special is not None and any(x in text for x in self.special)
+        if rest and first and not special and not first[-1].isspace() and not rest[-1][-1:].isspace():
+            unknown = {x for x in rest if x not in self._memo}
+            if unknown:
+                self._resolve(unknown)
+            counts = [self._memo[x] for x in rest]
+            if min(counts) >= 0 and self._slow(first) <= budget:
+                sums = [self._slow(first), *itertools.accumulate(counts, initial=0)]
+                sums = [sums[0] + x for x in sums[1:]]  # tokens before each piece, and of all
+                k = bisect.bisect_right(sums, budget) - 1
+                at = len(first) + sum(map(len, rest[:k])) + k
+                if k == len(rest):
+                    return len(text)
+                inside = self.prefix_counts(" " + rest[k])
+                return at + int(np.flatnonzero(sums[k] + inside <= budget)[-1])
+        size = 8 * budget + 64
+        while True:  # some prefix of the text: no longer one has fewer tokens than what comes before its last pre-token
+            head = text[:size]
+            table = self.prefix_counts(head)
+            last = len(head) - len(self._split.findall(head)[-1]) - 1 if head else 0
+            if len(head) == len(text) or (2 * last >= len(head) and table[last:].min() > budget):
+                return int(np.flatnonzero(table <= budget)[-1])
+            size *= 2
+
     def prefix_counts(self, text: str) -> np.ndarray:
         """The token count of every prefix, by code points (length + 1 values).
 
@@ -222,7 +254,10 @@ class Counter:
                     while k + 1 < len(tokens) and tokens[k + 1].isspace():
                         k += 1
                         group, whole = group + tokens[k], whole + self._slow(tokens[k])
-                    out += [base + self._slow(group[:i]) for i in range(1, len(group) + 1)]
+                    if self._white.fullmatch(group):  # at a text's end a run of white space is one pre-token
+                        out += self._by_points(group, base)
+                    else:
+                        out += [base + self._slow(group[:i]) for i in range(1, len(group) + 1)]
                     if k + 1 < len(tokens):
                         k += 1
                         if tokens[k][0] == " ":  # a prefix that ends after this space has it in the white space
@@ -235,7 +270,7 @@ class Counter:
                 base = out[-1]
                 k += 1
             if end > start:  # a special string: its prefixes are ordinary text
-                before, whole = text[at:start], text[start:end]
+                before, whole = "".join(tokens[-3:]), text[start:end]  # further back the split stays as it is
                 fixed = out[-1] - self._slow(before) if before else out[-1]
                 out += [fixed + self._slow(before + whole[:i]) for i in range(1, len(whole))] + [out[-1] + 1]
                 base = out[-1]
@@ -261,16 +296,25 @@ def load(path: str) -> Counter:
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, n_bytes, n_tokens, over_limit, chars_within) of every row of ``docs`` (doc_id, text); chars_within is the
+    number of code points of the longest prefix of at most ``limit`` tokens: where the text is cut to keep to it."""
     shared = docs.sparkSession.sparkContext.broadcast(load(tokenizer_path))
 
     def run(batches):
         counter = shared.value
         for batch in batches:
-            n = [x for part in batch_slices(batch, "text", _SLICE) for x in counter.counts(part.column(2).to_pylist())]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
-
-    return _rows(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+            n, chars = [], []
+            for part in batch_slices(batch, "text", _SLICE):
+                texts = part.column(2).to_pylist()
+                found = counter.counts(texts)
+                n += found
+                chars += [len(t or "") if k <= limit else counter.within(t, limit) for t, k in zip(texts, found, strict=True)]
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(chars, pa.int64())],
+                names=["doc_id", "n_bytes", "n_tokens", "over_limit", "chars_within"],
+            )
+
+    return _rows(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, chars_within long")
 
 
 def _rows(docs: DataFrame) -> DataFrame:

@@ -56,3 +56,36 @@ def test_budgets(both, documents):
     cut = tokens.longest_within(bytes(row.counts), 50)
     assert len(library.encode(text[:cut], add_special_tokens=False).ids) <= 50
     assert row.n_tokens == counter.count(text)
+
+
+@pytest.mark.parametrize("budget", [0, 1, 5, 17])
+def test_where_budgets_end(both, budget):
+    """Against the library's counts of all prefixes."""
+    counter, library = both
+    more = ["the quick brown fox's 12345 jumps, over; the lazy dog " * 2 + "end", "a " * 30 + "b", "x" * 150, "one\n\n two   three four five six seven eight " * 3]
+    for t in texts()[:150] + more:
+        if len(t) < 200:
+            fits = [len(library.encode(t[:i], add_special_tokens=False).ids) <= budget for i in range(len(t) + 1)]
+            assert counter.within(t, budget) == max(i for i, ok in enumerate(fits) if ok), t
+
+
+def test_cut_documents(both, documents):
+    counter, library = both
+    truth = {r.doc_id: r.text for r in documents.collect()}
+    for r in tokens.token_counts(documents, PATH, 100).collect():
+        text, n = truth[r.doc_id], r.chars_within
+        count = lambda x: len(library.encode(x, add_special_tokens=False).ids)
+        assert count(text[:n]) <= 100 and (n == len(text)) == (r.n_tokens <= 100)
+        assert all(count(text[: n + k]) > 100 for k in range(1, min(12, len(text) - n + 1)))
+
+
+def test_white_space_runs_take_linear_memory(both):
+    import time
+
+    counter, library = both
+    began = time.process_time()
+    table = counter.prefix_counts("a" + " " * 30_000 + "\n" * 2000 + "b<|endoftext|>")
+    assert time.process_time() - began < 20 and len(table) == 32_016
+    for i in (1, 2, 17, 500, 30_001, 30_050, 32_001, 32_002, 32_005, 32_015):
+        text = ("a" + " " * 30_000 + "\n" * 2000 + "b<|endoftext|>")[:i]
+        assert table[i] == len(library.encode(text, add_special_tokens=False).ids)
