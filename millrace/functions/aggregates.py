@@ -197,5 +197,6 @@ def approx_count_distinct(x: Column, error: float = 0.05) -> Column:
 
 
 def count_distinct_over(x: Column, window) -> Column:
-    """count(DISTINCT x) over a window."""
+    """count(DISTINCT x) over any window, by the set of a frame's values; operators.relational.count_distinct_over does it
+    for whole partitions without sets."""
     return F.size(F.collect_set(x).over(window)).cast("bigint")

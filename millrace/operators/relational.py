@@ -52,24 +52,45 @@ def qualify(df: DataFrame, name: str, value: Column, condition: str) -> DataFram
     return df.withColumn(name, value).where(condition)
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, how: str = "left") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, how: str = "left", slices: int = 1) -> DataFrame:
     """Each left row with the latest right row of the same ``by`` at or before its time.
 
     One union, one shuffle by ``by`` and one sorted pass; no pairs are made. Right columns other than ``by`` must have
     names of their own. Of right rows with one time the last in the order of their other columns counts.
+
+    slices: into so many ranges of the right side's times each key is cut, so that a key with a large share of the rows
+    takes as many tasks. What a range begins with is carried over from one row for each key and range.
     """
     others = [c for c in right.columns if c not in by]
     rest = [c for c in left.columns if c not in by]
     payload = F.struct(*others)
     a = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*rest).alias("_l"), F.lit(None).cast(right.select(payload.alias("x")).schema["x"].dataType).alias("_r"))
     b = right.where(F.col(right_time).isNotNull()).select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*rest).alias("x")).schema["x"].dataType).alias("_l"), payload.alias("_r"))
-    window = Window.partitionBy(*by).orderBy(F.col("_t").asc_nulls_first(), "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
-    joined = a.unionByName(b).withColumn("_m", F.last("_r", ignorenulls=True).over(window)).where("_side = 1")
+    rows, keys, before = a.unionByName(b), [*by], F.lit(None)
+    if slices > 1:
+        ends = b.agg(F.percentile_approx("_t", [i / slices for i in range(1, slices)]).alias("e")).first()["e"] or []
+        cuts = [F.lit(e).cast(b.schema["_t"].dataType) for e in ends]
+        rows = rows.withColumn("_s", sum((F.when(F.col("_t") > c, 1).otherwise(0) for c in cuts), F.lit(0)))
+        last = rows.groupBy(*by, "_s").agg(F.max_by("_r", F.when(F.col("_side") == 0, F.struct("_t", "_r"))).alias("_last"))
+        earlier = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        last = last.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_s").alias("_k_s"), F.last("_last", ignorenulls=True).over(earlier).alias("_before")).where("_before is not null")
+        rows = rows.join(last, [*[rows[c].eqNullSafe(last[f"_k_{c}"]) for c in by], rows["_s"] == last["_k_s"]], "left")
+        keys, before = [*by, "_s"], F.col("_before")
+    window = Window.partitionBy(*keys).orderBy(F.col("_t").asc_nulls_first(), "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.withColumn("_m", F.last("_r", ignorenulls=True).over(window)).where("_side = 1")
+    joined = joined.withColumn("_m", F.when(F.col("_t").isNotNull(), F.coalesce(F.col("_m"), before))) if slices > 1 else joined
     if how == "inner":
         joined = joined.where("_m is not null")
     return joined.select(*by, "_l.*", "_m.*")
 
 
+def count_distinct_over(df: DataFrame, partition: list[str], x: Column, name: str) -> DataFrame:
+    """``df`` with count(DISTINCT x) of each row's partition: the largest dense rank, one shuffle and no set of values."""
+    rank = F.dense_rank().over(Window.partitionBy(*partition).orderBy(F.col("_x").asc_nulls_last()))
+    ranked = df.withColumn("_x", x).withColumn("_d", F.when(F.col("_x").isNotNull(), rank))
+    return ranked.withColumn(name, F.coalesce(F.max("_d").over(Window.partitionBy(*partition)), F.lit(0)).cast("bigint")).drop("_x", "_d")
+
+
 def range_join(left: DataFrame, right: DataFrame, at: str, low: str, high: str, width: float, by: list[str] | None = None) -> DataFrame:
     """Left rows whose ``at`` is in [low, high] of a right row. Numbers only.
 

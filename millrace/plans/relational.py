@@ -115,6 +115,14 @@ def join_asof(t: Tables) -> DataFrame:
     return ops.asof_join(left, right, ["user_id"], "ts", "vts").select("event_id", "pid")
 
 
+@_r.add(_ASOF)
+def join_asof_hot_keys(t: Tables) -> DataFrame:
+    """The same with every key's times cut into ranges."""
+    left = t.events.where("event_type = 'purchase'").select("user_id", "event_id", "ts")
+    right = t.events.where("event_type = 'view'").groupBy("user_id", F.col("ts").alias("vts")).agg(F.max("event_id").alias("pid"))
+    return ops.asof_join(left, right, ["user_id"], "ts", "vts", slices=8).select("event_id", "pid")
+
+
 @_r.add("SELECT n_name, r_name FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS p FROM nation) FULL JOIN (SELECT *, row_number() OVER (ORDER BY r_regionkey DESC) AS p FROM region) USING (p)")
 def join_positional(t: Tables) -> DataFrame:
     return ops.positional_join(t.nation, t.region, [F.col("n_nationkey").asc()], [F.col("r_regionkey").desc()]).select("n_name", "r_name")

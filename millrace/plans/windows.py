@@ -23,7 +23,13 @@ _r.both("win_ntile_cume", "SELECT p_partkey, ntile(4) OVER w AS q, round(cume_di
 
 @_r.add("SELECT o_orderkey, count(DISTINCT o_orderpriority) OVER (PARTITION BY o_custkey) AS n FROM orders")
 def win_count_distinct(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", agg.count_distinct_over(F.col("o_orderpriority"), Window.partitionBy("o_custkey")).alias("n"))
+    return ops.count_distinct_over(t.orders.select("o_orderkey", "o_custkey", "o_orderpriority"), ["o_custkey"], F.col("o_orderpriority"), "n").select("o_orderkey", "n")
+
+
+@_r.add("SELECT event_id, count(DISTINCT CASE WHEN event_type <> 'view' THEN event_type END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events")
+def win_count_distinct_frame(t: Tables) -> DataFrame:
+    x = F.when(F.col("event_type") != "view", F.col("event_type"))
+    return t.events.select("event_id", agg.count_distinct_over(x, Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("n"))
 
 
 @_r.add("SELECT p_partkey, CAST(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS s FROM part")

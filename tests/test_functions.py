@@ -228,3 +228,18 @@ def test_rounded_int(spark, x, expected):
 @pytest.mark.parametrize(("first", "last", "expected"), [(1, 2, [1, 2]), (0, 2, [1, 2]), (2, 9, [2, 3]), (-2, -1, [2, 3]), (3, 2, []), (5, 9, []), (-9, 1, [1])])
 def test_list_slice(spark, first, last, expected):
     assert one(spark, maps.list_slice(F.array(F.lit(1), F.lit(2), F.lit(3)), first, last)) == expected
+
+
+def test_asof_slices(spark):
+    import random
+
+    r = random.Random(6)
+    left = [(r.choice(["a", "a", "b", None]), r.choice([None, *range(40)]), i) for i in range(120)]
+    right = [(r.choice(["a", "a", "b", None]), r.choice([None, *range(40)]), 1000 + i) for i in range(60)]
+    a, b = spark.createDataFrame(left, "k string, t int, i int"), spark.createDataFrame(right, "k string, u int, j int")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    whole = rows(ops.asof_join(a, b, ["k"], "t", "u"))
+    assert whole == rows(ops.asof_join(a, b, ["k"], "t", "u", slices=5)) and len(whole) == 120
+    inner = rows(ops.asof_join(a, b, ["k"], "t", "u", "inner", slices=3))
+    assert inner == [x for x in whole if x[4] is not None]
+    assert ops.asof_join(a, b.where("false"), ["k"], "t", "u", slices=3).count() == 120
