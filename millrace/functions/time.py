@@ -172,6 +172,25 @@ def make_timestamp(micros: Column) -> Column:
     return timestamp_of(micros)
 
 
+def make_timestamp_of(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column, zone: Column | None = None) -> Column:
+    """The timestamp of its parts; with a time zone the moment that its clocks show them at."""
+    if zone is None:
+        return F.make_timestamp_ntz(year, month, day, hour, minute, second.cast("decimal(16,6)"))
+    return F.make_timestamp(year, month, day, hour, minute, second.cast("decimal(16,6)"), zone)
+
+
+def time_of(ts: Column) -> Column:
+    """The time of day, kept as an interval from midnight: the session has no type for it."""
+    micros = F.pmod(micros_of(ts), F.lit(86_400_000_000))
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (micros / F.lit(1_000_000)).cast("decimal(18,6)"))
+
+
+def time_text(time: Column) -> Column:
+    """A time of day as text, with as many digits of a second as it needs."""
+    stamp = F.lit("1970-01-01").cast("timestamp_ntz") + time
+    return F.regexp_replace(F.date_format(stamp, "HH:mm:ss.SSSSSS"), r"(?:\.0+|(\.\d*[1-9])0+)$", "$1")
+
+
 def date_trunc(unit: str, ts: Column) -> Column:
     return F.date_trunc(unit, ts.cast("timestamp")).cast("timestamp_ntz")
 

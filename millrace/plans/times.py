@@ -77,3 +77,16 @@ _columns(
 )
 _columns("extract", "CAST(extract(year FROM ts) AS INTEGER) AS y, CAST(extract(doy FROM ts) AS INTEGER) AS d, CAST(extract(isodow FROM ts) AS INTEGER) AS w, CAST(extract(hour FROM ts) AS INTEGER) AS h", ("y", lambda: F.year("ts")), ("d", lambda: F.dayofyear("ts")), ("w", lambda: tm.isodow(_ts())), ("h", lambda: F.hour("ts")))
 _columns("interval_epoch", "epoch(to_months(CAST(event_id % 7 AS INTEGER)) + to_days(CAST(event_id % 11 AS INTEGER)) + to_microseconds(event_id * 1000)) AS e", ("e", lambda: tm.interval_epoch(F.col("event_id") % 7, F.col("event_id") % 11, F.col("event_id") * 1000)))
+
+
+@_r.add("SELECT o_orderkey, make_timestamp(2000 + o_orderkey % 20, 1 + o_orderkey % 12, 1 + o_orderkey % 28, o_orderkey % 24, o_orderkey % 60, o_orderkey % 60 + 0.25) AS ts FROM orders")
+def make_timestamp_parts(t: Tables) -> DataFrame:
+    k = lambda n: (F.col("o_orderkey") % n).cast("int")
+    return t.orders.select("o_orderkey", tm.make_timestamp_of(k(20) + 2000, k(12) + 1, k(28) + 1, k(24), k(60), k(60) + F.lit(0.25)).alias("ts"))
+
+
+@_r.add("SELECT event_id, CAST(CAST(ts AS TIME) AS VARCHAR) AS t, CAST(CAST(ts + INTERVAL '250 milliseconds' AS TIME) AS VARCHAR) AS f, CAST(ts AS TIME) < TIME '12:00:00' AS morning FROM events")
+def times_of_day(t: Tables) -> DataFrame:
+    now = tm.time_of(F.col("ts"))
+    later = tm.time_of(tm.add_interval(F.col("ts"), "250 milliseconds"))
+    return t.events.select("event_id", tm.time_text(now).alias("t"), tm.time_text(later).alias("f"), (now < F.expr("INTERVAL '12' HOUR")).alias("morning"))

@@ -6,7 +6,8 @@ import re
 
 from pyspark.sql import types as T
 
-#: Host type names and the session's types. Bit strings are strings of 0 and 1, JSON and UUIDs are text.
+#: Host type names and the session's types. Bit strings are strings of 0 and 1, JSON and UUIDs are text,
+#: times of day are intervals from midnight.
 SCALARS: dict[str, T.DataType] = {
     "boolean": T.BooleanType(),
     '"char"': T.ByteType(),
@@ -25,6 +26,8 @@ SCALARS: dict[str, T.DataType] = {
     "date": T.DateType(),
     "timestamp": T.TimestampNTZType(),
     "timestamptz": T.TimestampType(),
+    "time": T.DayTimeIntervalType(),
+    "timetz": T.StructType([T.StructField("time", T.DayTimeIntervalType()), T.StructField("offset_seconds", T.IntegerType())]),
     "uuid": T.StringType(),
     "json": T.StringType(),
     "jsonb": T.StringType(),
@@ -35,7 +38,7 @@ SCALARS: dict[str, T.DataType] = {
     "ubigint": T.DecimalType(20, 0),
     "hugeint": T.DecimalType(38, 0),
 }
-_ALIASES = {"bool": "boolean", "int2": "smallint", "int4": "integer", "int": "integer", "int8": "bigint", "float4": "real", "float8": "double precision", "double": "double precision", "string": "text", "char": "bpchar", "timestamp without time zone": "timestamp", "timestamp with time zone": "timestamptz", "character varying": "varchar"}
+_ALIASES = {"bool": "boolean", "int2": "smallint", "int4": "integer", "int": "integer", "int8": "bigint", "float4": "real", "float8": "double precision", "double": "double precision", "string": "text", "char": "bpchar", "time without time zone": "time", "time with time zone": "timetz", "timestamp without time zone": "timestamp", "timestamp with time zone": "timestamptz", "character varying": "varchar"}
 _NUMERIC = re.compile(r"(?:numeric|decimal)\s*(?:\(\s*(\d+)\s*(?:,\s*(-?\d+)\s*)?\))?")
 
 
