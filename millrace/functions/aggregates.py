@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,7 +32,7 @@ def _top(value: Column, key: Column, n: int, descending: bool) -> Column:
 def arg_max_n(value: Column, key: Column, n: int) -> Column:
     """The values at the n largest keys, largest first.
 
-    Collects the group; for groups that are larger than memory use operators.relational.top_n_per_group."""
+    Collects the group; ``grouped_top_n`` doesn't."""
     return _top(value, key, n, True)
 
 
@@ -51,6 +51,15 @@ def min_n(x: Column, n: int) -> Column:
     return F.slice(F.sort_array(F.collect_list(x)), 1, n)
 
 
+def grouped_top_n(df: DataFrame, keys: list[str], value: Column, key: Column, n: int, name: str, descending: bool = True) -> DataFrame:
+    """(keys, list of the values at the n largest keys), as arg_max_n gives them: ranks are limited before the shuffle and
+    after it, so at most n rows of a group come together. Groups without such rows have no list."""
+    rows = df.where(value.isNotNull() & key.isNotNull()).select(*keys, key.alias("__k"), value.alias("__v"))
+    order = [F.col("__k").desc(), F.col("__v").desc()] if descending else [F.col("__k").asc(), F.col("__v").asc()]
+    top = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= n)
+    return top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", "__v"))), lambda e: e["__v"]).alias(name))
+
+
 def array_agg(x: Column, order: Column | None = None) -> Column:
     """A list of a group's values, nulls kept; in the order of ``order`` if given."""
     if order is None:

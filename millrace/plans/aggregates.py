@@ -52,6 +52,15 @@ def arg_max_n(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_orderstatus").agg(F.array_join(agg.arg_max_n(v, key, 3), ",").alias("top"), F.array_join(agg.arg_min_n(v, key, 3), ",").alias("low"))
 
 
+@_r.add("SELECT o_orderstatus, array_to_string(arg_max(o_custkey, o_orderkey, 3), ',') AS top, array_to_string(arg_min(o_custkey, o_orderkey, 3), ',') AS low FROM orders GROUP BY o_orderstatus")
+def arg_max_n_grouped(t: Tables) -> DataFrame:
+    """The same with ranks that are limited before the shuffle."""
+    v, key = F.col("o_custkey"), F.col("o_orderkey")
+    top = agg.grouped_top_n(t.orders, ["o_orderstatus"], v, key, 3, "top")
+    low = agg.grouped_top_n(t.orders, ["o_orderstatus"], v, key, 3, "low", descending=False)
+    return top.join(low, "o_orderstatus").select("o_orderstatus", F.array_join("top", ",").alias("top"), F.array_join("low", ",").alias("low"))
+
+
 @_r.add("SELECT o_orderstatus, array_to_string(max(o_orderkey, 4), ',') AS hi, array_to_string(min(o_orderkey, 4), ',') AS lo FROM orders GROUP BY o_orderstatus")
 def min_n_max_n(t: Tables) -> DataFrame:
     x = F.col("o_orderkey")
