@@ -16,7 +16,7 @@ QUERIES, ORACLE_SQL = _r.queries, _r.sql
 def _fresh(t: Tables, name: str, rows: DataFrame, **options) -> str:
     """A new table with these rows, in place of the one of an earlier run."""
     name = f"millrace_{name}"
-    tables.drop_table(t.spark, name)
+    t.forget(name)
     tables.create_table_as(rows, name, **options)
     return name
 
@@ -31,7 +31,7 @@ def create_table_as(t: Tables) -> DataFrame:
 def insert_defaults(t: Tables) -> DataFrame:
     """Stored defaults, which may name other columns' rows only by value: an expression for each new row."""
     name = "millrace_defaults"
-    tables.drop_table(t.spark, name)
+    t.forget(name)
     tables.create_table(t.spark, name, "c_custkey BIGINT, c_name STRING, state STRING, score DOUBLE", defaults={"state": "'new'"})
     tables.insert(t.customer.select("c_custkey", "c_name", F.col("c_custkey") * 1.5), name, ["c_custkey", "c_name", "score"])
     return t.spark.table(name)
@@ -70,7 +70,7 @@ def alter_table(t: Tables) -> DataFrame:
     tables.drop_column(t.spark, name, "c_name")
     tables.alter_type(t.spark, name, "c_custkey", "string")
     tables.rename_column(t.spark, name, "c_custkey", "customer")
-    tables.drop_table(t.spark, "millrace_altered")
+    t.forget("millrace_altered")
     tables.rename_table(t.spark, name, "millrace_altered")
     return t.spark.table("millrace_altered")
 
@@ -79,7 +79,7 @@ def alter_table(t: Tables) -> DataFrame:
 def table_constraints(t: Tables) -> DataFrame:
     """Rows that break a constraint are refused as a whole insert."""
     name = "millrace_constraints"
-    tables.drop_table(t.spark, name)
+    t.forget(name)
     rules = tables.Constraints(not_null=["c_custkey"], checks={"key": "c_custkey >= 0"}, unique=[["c_custkey"]])
     tables.create_table(t.spark, name, "c_custkey BIGINT, c_name STRING", rules)
     rows = t.customer.select("c_custkey", "c_name")
@@ -97,7 +97,7 @@ def table_constraints(t: Tables) -> DataFrame:
 def materialized_view(t: Tables) -> DataFrame:
     """The result is stored; a refresh sees the rows that came meanwhile."""
     source = _fresh(t, "mv_source", t.nation.select("n_nationkey", "n_regionkey"))
-    tables.drop_table(t.spark, "millrace_mv")
+    t.forget("millrace_mv")
     tables.create_materialized_view(t.spark, "millrace_mv", f"SELECT n_regionkey AS k, count(*) AS n FROM {source} GROUP BY n_regionkey")
     tables.insert(t.nation.where("n_nationkey < 7").select("n_nationkey", "n_regionkey"), source)
     tables.refresh_materialized_view(t.spark, "millrace_mv")

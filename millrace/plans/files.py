@@ -117,7 +117,7 @@ def copy_from(t: Tables) -> DataFrame:
     csv, parquet = place(t, "from.csv"), place(t, "from.parquet")
     sinks.copy_to(rows, csv)
     sinks.copy_to(rows.where("o_orderkey % 2 = 0"), parquet)
-    tables.drop_table(t.spark, table)
+    t.forget(table)
     tables.create_table(t.spark, table, "o_orderkey BIGINT, o_totalprice DOUBLE, o_orderstatus STRING")
     sinks.copy_from(t.spark, table, csv)
     sinks.copy_from(t.spark, table, parquet)
@@ -135,7 +135,7 @@ def join_table_with_file(t: Tables) -> DataFrame:
     """A catalog table, a temporary table and a file in one query."""
     path = place(t, "joined.parquet")
     sinks.copy_to(t.orders.select("o_orderkey", "o_custkey"), path)
-    tables.drop_table(t.spark, "millrace_join")
+    t.forget("millrace_join")
     tables.create_table_as(t.customer.select("c_custkey", "c_name"), "millrace_join")
     tables.create_temporary_table_as(t.customer.where("c_acctbal > 9000").select(F.col("c_custkey").alias("rich")), "millrace_rich")
     rows = sources.read_parquet(t.spark, path).join(t.spark.table("millrace_join"), F.col("o_custkey") == F.col("c_custkey"))

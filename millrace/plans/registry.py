@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.tables import drop_table
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -20,6 +22,13 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def forget(self, name: str) -> None:
+        """Drop a table of an earlier run, and its folder, which outlives a session whose catalog is in memory."""
+        drop_table(self.spark, name)
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        place = jvm.org.apache.hadoop.fs.Path(f"{self.spark.catalog.getDatabase(self.spark.catalog.currentDatabase()).locationUri}/{name}")
+        place.getFileSystem(conf).delete(place, True)
+
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over the tables that ``text`` names as ``{orders}``."""
         used = {n: getattr(self, n) for n in TABLES if "{" + n + "}" in text}
