@@ -91,6 +91,22 @@ def count_distinct_over(df: DataFrame, partition: list[str], x: Column, name: st
     return ranked.withColumn(name, F.coalesce(F.max("_d").over(Window.partitionBy(*partition)), F.lit(0)).cast("bigint")).drop("_x", "_d")
 
 
+_COMPARE: dict[str, Callable[[Column, Column], Column]] = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}
+
+
+def compare_subquery(df: DataFrame, x: Column, op: str, quantifier: str, values: DataFrame, name: str) -> DataFrame:
+    """``df`` with x op ALL (values) or x op ANY (values), for > >= < and <=, nulls and empty sets as SQL has them. ``values``
+    has one column; its extremes and its counts are one row that goes to every task."""
+    v = F.col(f"`{values.columns[0]}`")
+    facts = values.agg(F.count("*").alias("_n"), F.count(v).alias("_known"), F.min(v).alias("_least"), F.max(v).alias("_most"))
+    everything = quantifier.upper() == "ALL"
+    edge = F.col("_most") if (op[0] == ">") == everything else F.col("_least")
+    holds = _COMPARE[op](x, edge)
+    decided = F.when(F.col("_n") == 0, everything).when(~holds if everything else holds, not everything)
+    answer = decided.when((F.col("_known") < F.col("_n")) | x.isNull(), F.lit(None).cast("boolean")).otherwise(everything)
+    return df.join(F.broadcast(facts)).withColumn(name, answer).drop("_n", "_known", "_least", "_most")
+
+
 def range_join(left: DataFrame, right: DataFrame, at: str, low: str, high: str, width: float, by: list[str] | None = None) -> DataFrame:
     """Left rows whose ``at`` is in [low, high] of a right row. Numbers only.
 

@@ -193,3 +193,20 @@ def union_by_name(t: Tables) -> DataFrame:
 def unpivot(t: Tables) -> DataFrame:
     rows = t.nation.selectExpr("n_nationkey", "CAST(n_regionkey AS BIGINT) AS a", "CAST(n_nationkey * 2 AS BIGINT) AS b")
     return ops.unpivot(rows, ["n_nationkey"], ["a", "b"])
+
+
+_SETS = {"some": "c_custkey % 7 = 0", "none": "c_custkey < 0", "nulls": "c_custkey % 5 = 0"}
+_SET_SQL = {"some": "SELECT c_acctbal * 20 FROM customer WHERE c_custkey % 7 = 0", "none": "SELECT c_acctbal FROM customer WHERE c_custkey < 0", "nulls": "SELECT CASE WHEN c_custkey % 2 = 0 THEN c_acctbal * 20 END FROM customer WHERE c_custkey % 5 = 0"}
+
+
+@_r.add("SELECT o_orderkey, " + ", ".join(f"x {op} {q} ({_SET_SQL[k]}) AS {k}_{q}_{i}" for k in _SETS for q in ("ALL", "ANY") for i, op in enumerate((">", "<="))) + " FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS x FROM orders)")
+def compare_all_any(t: Tables) -> DataFrame:
+    """Comparisons with ALL and ANY of a set with values, an empty one and one with nulls."""
+    rows = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice")).alias("x"))
+    for k, condition in _SETS.items():
+        value = F.col("c_acctbal") * 20
+        values = t.customer.where(condition).select((F.when(F.col("c_custkey") % 2 == 0, value) if k == "nulls" else value).alias("v"))
+        for q in ("ALL", "ANY"):
+            for i, op in enumerate((">", "<=")):
+                rows = ops.compare_subquery(rows, F.col("x"), op, q, values, f"{k}_{q}_{i}")
+    return rows.drop("x")
