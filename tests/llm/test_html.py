@@ -89,6 +89,14 @@ def test_labelled_pages(spark):
         assert r.text == "\n".join(x for x in blocks if x)
 
 
+def test_ties_of_paths():
+    """Of winning paths that hold the same text the deeper one gives it; where none holds most of a page, the page's own."""
+    page = f"<div class='a'><div class='b'><p>{BODY}</p></div></div><div class='c'><p>One more.</p></div>"
+    assert html.extract(page, ["div.a", "div.a>div.b"]) == html.extract(page, ["div.a>div.b", "div.a"]) == BODY.strip()
+    page = f"<body><div class='a'><p>{BODY}</p></div><div class='c'><p>{BODY}</p></div></body>"
+    assert html.extract(page, ["body>div.c", "body>div.a"]) == f"{BODY.strip()}\n{BODY.strip()}"
+
+
 def test_hosts_agree(spark):
     body = "<html><body><div class='c{0}'><p>{1}</p></div><div class='tail'><p>{2}</p></div></body></html>"
     long, short = "A long sentence that is the article of this page, as it should be. " * 3, "Short one."
