@@ -159,22 +159,24 @@ def json_keys(j: Column, path: Path | list[Path] = "$") -> Column:
 
 
 def json_type(j: Column, path: Path | list[Path] = "$") -> Column:
-    def kind(text: Column) -> Column:
-        first = F.substring(text, 1, 1)
+    """The type of the value at a path. Named branches share the parsed value, which the session computes once for a row."""
+
+    def one(p: Path) -> Column:
+        value = _variant(j, p)
+        kind = F.schema_of_variant(value)
+        whole = (kind == "BIGINT") | kind.endswith(",0)")
         return (
-            F.when(text.isNull(), F.lit(None).cast("string"))
-            .when(first == "{", "OBJECT")
-            .when(first == "[", "ARRAY")
-            .when(first == '"', "VARCHAR")
-            .when(text.isin("true", "false"), "BOOLEAN")
-            .when(text == "null", "NULL")
-            .when(F.regexp_like(text, F.lit(r"^\d+$")), "UBIGINT")
-            .when(F.regexp_like(text, F.lit(r"^-\d+$")), "BIGINT")
+            F.when(kind.isNull(), F.lit(None).cast("string"))
+            .when(whole, F.when(F.try_variant_get(value, "$", "decimal(38,0)") < 0, "BIGINT").otherwise("UBIGINT"))
+            .when(kind == "STRING", "VARCHAR")
+            .when(kind.startswith("OBJECT"), "OBJECT")
+            .when(kind.startswith("ARRAY"), "ARRAY")
+            .when(kind == "BOOLEAN", "BOOLEAN")
+            .when(kind == "VOID", "NULL")
             .otherwise("DOUBLE")
         )
 
-    # The document is parsed once for each path, whatever branch is taken.
-    return _for_paths(lambda p: F.transform(F.array(F.to_json(_variant(j, p))), kind)[0], path)
+    return _for_paths(one, path)
 
 
 # ---------------------------------------------------------------------------------- containment and structure
