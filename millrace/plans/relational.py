@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import strings
 from millrace.operators import relational as ops
 from millrace.plans.registry import Registry, Tables
+from millrace.sources import read_parquet
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.sql
@@ -56,19 +57,29 @@ def sample_none(t: Tables) -> DataFrame:
     return ops.sample(t.nation, 0, seed=1)
 
 
-@_r.add()
+@_r.add("SELECT l_linestatus, true AS near, true AS there FROM lineitem GROUP BY l_linestatus")
 def sample_bernoulli(t: Tables) -> DataFrame:
-    return ops.sample(t.lineitem, 10, seed=42)
+    """Is a sample of a tenth within six of its standard deviations of a tenth, and are all its rows rows of the table?"""
+    line = lambda df: df.select("l_linestatus", F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("r"))
+    whole = line(t.lineitem).groupBy("l_linestatus").agg(F.count("*").alias("n"))
+    part = line(ops.sample(t.lineitem, 10, seed=42))
+    known = line(t.lineitem).select(F.col("r").alias("known")).distinct()
+    part = part.join(known, F.col("r") == F.col("known"), "left").groupBy(F.col("l_linestatus").alias("s")).agg(F.count("*").alias("k"), F.every(F.col("known").isNotNull()).alias("there"))
+    near = F.abs(F.col("k") - F.col("n") / 10) <= 6 * F.sqrt(F.col("n") * 0.09)
+    return whole.join(part, F.col("l_linestatus") == F.col("s")).select("l_linestatus", near.alias("near"), "there")
 
 
-@_r.add()
+@_r.add("SELECT CAST(100 AS BIGINT) AS n, CAST(100 AS BIGINT) AS n_distinct, true AS there")
 def sample_rows(t: Tables) -> DataFrame:
-    return ops.sample_rows(t.orders.select("o_orderkey"), 100, seed=7)
+    chosen = ops.sample_rows(t.orders.select("o_orderkey"), 100, seed=7)
+    known = t.orders.select(F.col("o_orderkey").alias("known"))
+    return chosen.join(known, F.col("o_orderkey") == F.col("known"), "left").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("n_distinct"), F.every(F.col("known").isNotNull()).alias("there"))
 
 
-@_r.add()
+@_r.add("SELECT o_orderkey, 'orders.parquet' AS filename, true AS sized, row_number() OVER () - 1 AS file_row_number FROM orders")
 def file_metadata_cols(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("filename"), "_metadata.file_size", F.col("_metadata.row_index").alias("file_row_number"))
+    rows = read_parquet(t.spark, f"{t.sf_dir}/orders.parquet", filename=True, file_row_number=True)
+    return rows.select("o_orderkey", F.element_at(F.split("filename", "/"), -1).alias("filename"), (F.col("_metadata.file_size") > 0).alias("sized"), "file_row_number")
 
 
 _r.both("generate_series", "SELECT id AS n, id * id AS sq FROM range(1, 101)", "SELECT generate_series AS n, generate_series * generate_series AS sq FROM generate_series(1, 100)")
