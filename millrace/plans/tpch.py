@@ -67,7 +67,7 @@ _r.both(
 
 # The shapes of the further queries, over the columns that there are: dates of receipt, ship modes, containers, phones and
 # part suppliers are missing, so conditions on them are left out or stand on the ship date, the line status or a brand.
-_REVENUE = "sum(l_extendedprice * (1 - l_discount))"
+_REVENUE = "sum(l_extendedprice * (1 - l_discount))"  # has four digits after the point, and is rounded to those
 _r.both(
     "q4",
     "SELECT o_orderpriority, count(*) AS order_count FROM {orders} WHERE o_orderdate >= DATE '1997-07-01' AND o_orderdate < DATE '1997-10-01' "
@@ -75,10 +75,10 @@ _r.both(
 )
 _r.both(
     "q7",
-    f"SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, year(l_shipdate) AS l_year, round({_REVENUE}, 2) AS revenue FROM {{supplier}} JOIN {{lineitem}} ON s_suppkey = l_suppkey JOIN {{orders}} ON o_orderkey = l_orderkey "
+    f"SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, year(l_shipdate) AS l_year, round({_REVENUE}, 4) AS revenue FROM {{supplier}} JOIN {{lineitem}} ON s_suppkey = l_suppkey JOIN {{orders}} ON o_orderkey = l_orderkey "
     "JOIN {customer} ON c_custkey = o_custkey JOIN {nation} n1 ON s_nationkey = n1.n_nationkey JOIN {nation} n2 ON c_nationkey = n2.n_nationkey "
     "WHERE n1.n_regionkey <> n2.n_regionkey AND l_shipdate BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' GROUP BY n1.n_name, n2.n_name, year(l_shipdate)",
-    f"SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(year(l_shipdate) AS INTEGER) AS l_year, round({_REVENUE}, 2) AS revenue FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey "
+    f"SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(year(l_shipdate) AS INTEGER) AS l_year, round({_REVENUE}, 4) AS revenue FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey "
     "JOIN customer ON c_custkey = o_custkey JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey "
     "WHERE n1.n_regionkey <> n2.n_regionkey AND l_shipdate BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' GROUP BY ALL",
 )
@@ -98,13 +98,13 @@ _r.both(
 _r.both("q14", f"SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / {_REVENUE}, 8) AS promo_revenue FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey WHERE l_shipdate >= DATE '1997-09-01' AND l_shipdate < DATE '1997-10-01'")
 _r.both(
     "q15",
-    f"WITH revenue AS (SELECT l_suppkey AS supplier_no, round({_REVENUE}, 2) AS total_revenue FROM {{lineitem}} WHERE l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1997-04-01' GROUP BY l_suppkey) "
+    f"WITH revenue AS (SELECT l_suppkey AS supplier_no, round({_REVENUE}, 4) AS total_revenue FROM {{lineitem}} WHERE l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1997-04-01' GROUP BY l_suppkey) "
     "SELECT s_suppkey, s_name, total_revenue FROM {supplier} JOIN revenue ON s_suppkey = supplier_no WHERE total_revenue = (SELECT max(total_revenue) FROM revenue)",
 )
 _r.both("q17", "SELECT round(sum(l_extendedprice) / 7.0, 6) AS avg_yearly FROM {lineitem} l JOIN {part} ON p_partkey = l_partkey WHERE p_size < 10 AND l_quantity < (SELECT 0.4 * avg(l_quantity) FROM {lineitem} i WHERE i.l_partkey = p_partkey)")
 _r.both(
     "q19",
-    f"SELECT round({_REVENUE}, 2) AS revenue FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey WHERE (p_brand = 'Brand#12' AND l_quantity BETWEEN 1 AND 21 AND p_size BETWEEN 1 AND 25) "
+    f"SELECT round({_REVENUE}, 4) AS revenue FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey WHERE (p_brand = 'Brand#12' AND l_quantity BETWEEN 1 AND 21 AND p_size BETWEEN 1 AND 25) "
     "OR (p_brand = 'Brand#23' AND l_quantity BETWEEN 10 AND 30 AND p_size BETWEEN 1 AND 40) OR (p_brand = 'Brand#4' AND l_quantity BETWEEN 20 AND 50 AND p_size BETWEEN 1 AND 50)",
 )
 _r.both(
